@@ -89,15 +89,18 @@ class Network:
         return cls(p)
 
     def inputs(self, word: np.ndarray, grams: np.ndarray, begin: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-        """[words, 2 DIM] of different words."""
-        n = np.maximum(np.diff(begin), 1)
-        total = np.zeros((len(grams) + 1, DIM), _F)
-        np.cumsum(self.p["gram"][grams], 0, out=total[1:], dtype=_F) if len(grams) < 4096 else None
-        mean = (total[begin[1:]] - total[begin[:-1]]) if len(grams) < 4096 else np.add.reduceat(self.p["gram"][grams], np.minimum(begin[:-1], len(grams) - 1)) * (np.diff(begin) > 0)[:, None]
-        w = self.p["word"][word]
-        if keep is not None:
-            w = w * keep[:, None]
-        return np.concatenate([w, mean / n[:, None].astype(_F)], 1)
+        """[words, 2 DIM] of different words, some thousands at a time."""
+        out = np.zeros((len(word), 2 * DIM), _F)
+        for lo in range(0, len(word), 8192):
+            hi = min(len(word), lo + 8192)
+            own = begin[lo : hi + 1] - begin[lo]
+            n = np.diff(own)
+            held = np.flatnonzero(n)
+            w = self.p["word"][word[lo:hi]]
+            out[lo:hi, :DIM] = w if keep is None else w * keep[lo:hi, None]
+            if len(held):
+                out[lo + held, DIM:] = np.add.reduceat(self.p["gram"][grams[begin[lo] : begin[hi]]], own[held]) / n[held, None].astype(_F)
+        return out
 
     def run(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray | None, hold: bool = False):
         """Logits of windows: x are inputs of words, at [windows, steps] the word at each step."""
@@ -200,6 +203,33 @@ def prepare(w: textscan.Words) -> Texts:
     return Texts((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), grams, begin, at, w.first)
 
 
+def prepare_all(texts: list[str], block: int = 1 << 20) -> Texts:
+    """``prepare`` over many texts, a block of bytes at a time."""
+    sizes = [len(t.encode()) for t in texts]
+    off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    hashes, grams, begins, ats, counts = [], [], [np.zeros(1, np.int64)], [], []
+    for lo, hi in textscan.groups(off, block):
+        raw = np.frombuffer("".join(texts[lo:hi]).encode(), np.uint8)
+        w = textscan.words(raw, off[lo : hi + 1] - off[lo], textscan.MARKS)
+        h, one, at = np.unique(w.hash, return_index=True, return_inverse=True)
+        counts.append(np.diff(w.first))
+        if not len(h):
+            continue
+        g, b = grams_of(w.data, w.start[one], w.end[one])
+        ats.append((at + sum(map(len, hashes))).astype(np.int32))
+        hashes.append(h)
+        grams.append(g.astype(np.int32))
+        begins.append(b[1:] + begins[-1][-1])
+    if not hashes:
+        return Texts(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
+    every, begin = np.concatenate(hashes), np.concatenate(begins)
+    h, one, place = np.unique(every, return_index=True, return_inverse=True)
+    many = begin[one + 1] - begin[one]
+    cuts = np.concatenate([[0], np.cumsum(many)])
+    pick = np.repeat(begin[one] - cuts[:-1], many) + np.arange(cuts[-1])
+    return Texts((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), np.concatenate(grams)[pick], cuts, place.astype(np.int32)[np.concatenate(ats)], np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
+
+
 def window_logits(net: Network, t: Texts, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, size, logit) of every window of every text."""
     doc, first, size = windows_of(np.diff(t.first))
@@ -302,22 +332,20 @@ def fit(texts: Texts, y: np.ndarray, share: float | None = None, passes: int = 6
 def _odds(t: Texts, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of toxic texts for each word and n-gram bucket, by how many texts have it."""
     n = len(y)
-    doc = np.repeat(np.arange(n), np.diff(t.first))
-    out = []
-    for buckets, owner, bits in ((t.word[t.at], doc, WORD_BITS), (None, None, GRAM_BITS)):
-        if buckets is None:
-            one = np.unique(doc * len(t.word) + t.at) if len(t.word) else np.zeros(0, np.int64)
-            d, w = one // max(1, len(t.word)), one % max(1, len(t.word))
-            many = t.begin[w + 1] - t.begin[w]
-            at = np.repeat(t.begin[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            buckets, owner = t.grams[at], np.repeat(d, many)
-        seen = np.unique(owner * (1 << bits) + buckets)
-        who, what = seen >> bits, seen & ((1 << bits) - 1)
-        bad = np.bincount(what, y[who], 1 << bits)
-        all_ = np.bincount(what, minlength=1 << bits)
-        lift = np.log((bad + 1) / (y.sum() + 2)) - np.log((all_ - bad + 1) / (n - y.sum() + 2))
-        out.append((np.clip(lift, -3, 3) * np.minimum(all_ / 10, 1)).astype(_F))
-    return out[0], out[1]
+    bad = [np.zeros(1 << WORD_BITS), np.zeros(1 << GRAM_BITS)]
+    all_ = [np.zeros(1 << WORD_BITS), np.zeros(1 << GRAM_BITS)]
+    for i in range(n):
+        own = np.unique(t.at[t.first[i] : t.first[i + 1]])
+        if not len(own):
+            continue
+        many = t.begin[own + 1] - t.begin[own]
+        at = np.repeat(t.begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        for k, what in enumerate((t.word[own], t.grams[at])):
+            seen = np.unique(what)
+            all_[k][seen] += 1
+            bad[k][seen] += y[i]
+    lift = lambda b, a: np.log((b + 1) / (y.sum() + 2)) - np.log((a - b + 1) / (n - y.sum() + 2))
+    return tuple((np.clip(lift(b, a), -3, 3) * np.minimum(a / 10, 1)).astype(_F) for b, a in zip(bad, all_))
 
 
 def _means(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -360,11 +388,9 @@ def train(docs: DataFrame, labels: DataFrame, learn, each: tuple[int, int] = EAC
     chosen = docs.where(learn).where(F.coalesce(F.octet_length(docs[text]), F.lit(0)) <= most_bytes)
     got = sorted((r.text, r.y) for r in labelled(chosen, labels, "toxic", each[::-1], key, text).collect())  # at most sum(each) rows
     y = np.array([r[1] for r in got], float)
-    off = np.cumsum([0] + [len(t.encode()) for t, _ in got])
-    raw = np.frombuffer("".join(t for t, _ in got).encode(), np.uint8)
     told = {r[0]: r[1] for r in labels.where(F.col("toxic").isNotNull()).groupBy(F.col("toxic").cast("int")).count().collect()}  # two rows
     share = told.get(1, 0) / max(1, told.get(0, 0) + told.get(1, 0))
-    return fit(prepare(textscan.words(raw, off, textscan.MARKS)), y, share or None)
+    return fit(prepare_all([t for t, _ in got]), y, share or None)
 
 
 def score(docs: DataFrame, net: Network, keep: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
