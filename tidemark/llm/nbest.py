@@ -13,6 +13,7 @@ among texts' segmentations alike in score and number, the one that leaves the be
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,20 +111,22 @@ class Lattice:
 
     def edges(self, part: str) -> list[list[tuple[int, int, int]]]:
         """For each end: (start, value, id or -1 for a character's bytes), longest first."""
-        out: list[list[tuple[int, int, int]]] = [[]]
-        for j in range(1, len(part) + 1):
-            row = []
-            for i in range(max(0, j - self.longest), j):
-                k = self.ids.get(part[i:j])
-                if k is not None:
-                    row.append((i, int(self.value[k]), k))
-            if not row or row[-1][0] != j - 1:
-                row.append((j - 1, self.unknown * STEP - len(part[j - 1].encode("utf-8", "surrogatepass")), -1))
-            out.append(row)
-        return out
+        return [[], *(self.edges_to(part, j) for j in range(1, len(part) + 1))]
+
+    def edges_to(self, part: str, j: int) -> list[tuple[int, int, int]]:
+        row, get = [], self.ids.get
+        for i in range(max(0, j - self.longest), j):
+            k = get(part[i:j])
+            if k is not None:
+                row.append((i, int(self.value[k]), k))
+        if not row or row[-1][0] != j - 1:
+            row.append((j - 1, self.unknown * STEP - len(part[j - 1].encode("utf-8", "surrogatepass")), -1))
+        return row
 
     def n_best(self, part: str, n: int) -> list[tuple[int, bytes]]:
         """Up to ``n`` (value, ids as bytes) of a part, best first: forward Viterbi, then A* from the end."""
+        if len(part) > TOGETHER:
+            return self._n_best_long(part, n)
         edges = self.edges(part)
         ahead = [0]
         for row in edges[1:]:
@@ -140,6 +143,33 @@ class Lattice:
                 heapq.heappush(heap, (-(ahead[i] + v + passed), (*lens, i - at), i, v + passed))
         return out
 
+    def _n_best_long(self, part: str, n: int) -> list[tuple[int, bytes]]:
+        """The same search in memory that grows with the part: hypotheses are chains, a place is gone
+        on from n times at most, and equals are taken last in, first out, the longest piece last in."""
+        ahead = array("q", [0]) * (len(part) + 1)
+        for j in range(1, len(part) + 1):
+            ahead[j] = max(ahead[i] + v for i, v, _ in self.edges_to(part, j))
+        visits = bytearray(len(part) + 1)
+        end, turn = len(part), 0
+        heap: list = [(-ahead[end], 0, end, 0, None)]
+        out: list = []
+        while heap and len(out) < n:
+            _, _, at, passed, chain = heapq.heappop(heap)
+            if not at:
+                lens = []
+                while chain:
+                    chain, step = chain
+                    lens.append(step)
+                out.append((passed, self._ids_of(part, lens[::-1])))
+                continue
+            if visits[at] >= min(n, 255):
+                continue
+            visits[at] += 1
+            for i, v, _ in reversed(self.edges_to(part, at)):
+                turn -= 1
+                heapq.heappush(heap, (-(ahead[i] + v + passed), turn, i, v + passed, (chain, i - at)))
+        return out
+
     def _ids_of(self, part: str, lens: tuple) -> bytes:
         ids, at = [], 0
         for n in reversed(lens):
