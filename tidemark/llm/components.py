@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import cut
 
-#: Times that pointers are doubled in a round.
-JUMPS = 3
+
+def _further(hook: DataFrame) -> DataFrame:
+    """(``u``, ``p``, and ``pp``, where p points to)."""
+    return cut(hook.join(hook.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", "p", "pp"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,10 +27,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = left.union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
         hook = cut(hook)
-        for _ in range(JUMPS):
-            up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            hook = hook.join(up, "p").select("u", F.col("pp").alias("p"))
-        hook = cut(hook)
+        far = _further(hook)
+        while not far.where("p <> pp").isEmpty():  # each turn halves the longest way
+            far = _further(far.select("u", F.col("pp").alias("p")))
+        hook = far.select("u", "p")
         ends = hook.select(F.col("u").alias("node"), F.col("p").alias("root")) if ends is None else ends.join(hook.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         ends = cut(ends)
         to = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
