@@ -259,10 +259,14 @@ def train(docs: DataFrame, learn, text: str = "text", shards: int | None = None)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """D1, D2, D3+ from how many have the counts 1 to 4; where these give none, halves."""
+    """D1, D2, D3+ from how many have the counts 1 to 4.
+
+    Where the estimate isn't between 0 and the count, as on very little text, half the count: every
+    discount is positive, so every word keeps some probability.
+    """
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    rule = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.0), float(k)) if n1 and n2 else 0.5 * k for k, d in enumerate(rule, 1)]
+    rule = [1 - 2 * y * n2 / n1 if n1 else 0.0, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
+    return [d if n1 and n2 and 0 < d < k else 0.5 * k for k, d in enumerate(rule, 1)]
 
 
 @dataclass
