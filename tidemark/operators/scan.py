@@ -7,7 +7,7 @@ order in which points were written.  Points without a value aren't stored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,13 @@ class Series:
         """A dataset that a SeriesWriter has written, or any Parquet folder of the long layout."""
         return cls(spark.read.parquet(path), **names)
 
+    def cached(self) -> Series:
+        """The same series, kept in memory and on disk from its first use on."""
+        return replace(self, df=self.df.persist())
+
+    def clear_cache(self) -> None:
+        self.df.unpersist()
+
     @property
     def kind(self) -> DataType:
         return DataType.of(self.df.schema[self.value].dataType)

@@ -604,6 +604,33 @@ def xor_residual_stats(spark, d):
     return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same").cast("long")).alias("same"), F.avg("lead").alias("lead"), F.avg("trail").alias("trail"))
 
 
+_RESIDUAL = "(SELECT event_type, event_id, d, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM (SELECT event_type, event_id, user_id - coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS d FROM events))"
+
+
+def _residuals(spark, d):
+    e = codecs.delta(table(spark, d, "events"), ["event_type"], "user_id", "event_id").select("event_type", "event_id", F.coalesce("delta", "user_id").alias("d"))
+    return e.withColumn("z", codecs.zigzag(F.col("d")))
+
+
+@query(f"SELECT event_type, event_id, z FROM {_RESIDUAL}")
+def sprintz_delta_residuals(spark, d):
+    return _residuals(spark, d).select("event_type", "event_id", "z")
+
+
+@query(f"SELECT event_type, CAST(CASE WHEN z = 0 THEN 0 ELSE length(bin(z)) END AS INTEGER) AS bits, count(*) AS n FROM {_RESIDUAL} GROUP BY ALL")
+def bit_width_histogram(spark, d):
+    """How many residuals need how many bits: what a word-packing codec's size follows from."""
+    bits = F.when(F.col("z") == 0, 0).otherwise(F.length(F.bin("z"))).alias("bits")
+    return _residuals(spark, d).groupBy("event_type", bits).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def simple8b_words(spark, d):
+    """Words and points of each block of whole numbers."""
+    coded = bitcodecs.encode_blocks(_blocks(spark, d), ["event_type", "block"], "cents", "event_id", "simple8b")
+    return coded.select("event_type", "block", "points", ((F.octet_length("code") - 4) / 8).cast("long").alias("words"))
+
+
 @query()
 def encoded_sizes(spark, d):
     """Bytes of each measurement's values under each codec."""
@@ -680,6 +707,14 @@ def ingest_ts_units(spark, d):
     return e.select("event_id", io.millis("us", "us").alias("from_us"), io.millis(F.floor(F.col("us") / F.lit(1000000).cast("decimal(10,0)")), "s").alias("from_s"), io.millis(F.col("us") * 1000, "ns").alias("from_ns"))
 
 
+@query("SELECT user_id AS device_id, CASE WHEN event_id % 11 = 0 THEN 0 ELSE epoch_us(ts) // 1000 END AS ts, value FROM events WHERE event_id % 7 <> 0")
+def ingest_null_device(spark, d):
+    """Rows without a device go; a null time is 0."""
+    e = table(spark, d, "events")
+    rows = e.select(F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("device_id"), F.when(F.col("event_id") % 11 != 0, F.unix_micros(F.col("ts").cast("timestamp"))).alias("timestamp"), "value")
+    return io.normalized(rows, [MeasurementSchema("value", DataType.DOUBLE)], "us")
+
+
 def line_schema(spark, d) -> TableSchema:
     struct = table(spark, d, "lineitem").schema
     role = {"l_returnflag": Category.TAG, "l_linestatus": Category.TAG, "l_shipdate": Category.TIME}

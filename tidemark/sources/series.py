@@ -119,6 +119,11 @@ def from_arrow_table(spark: SparkSession, table: pa.Table, config: Config = Conf
         elif own != to_arrow(m.kind):
             table = table.set_column(table.column_names.index(m.name), m.name, table.column(m.name).cast(to_arrow(m.kind)))
     df = spark.createDataFrame(table)
+    return normalized(df, measurements, unit, config)
+
+
+def normalized(df: DataFrame, measurements: list[MeasurementSchema], unit: str = "ms", config: Config = Config()) -> DataFrame:
+    """The wide form of any DataFrame with a device and a count of ``unit``s as its time."""
     cols = [F.col(m.name).cast(m.kind.spark).alias(m.name, metadata=m.field().metadata) for m in measurements]
     return df.where(F.col(config.device).isNotNull()).select(F.col(config.device).alias("device_id"), F.coalesce(millis(config.time, unit), F.lit(0)).alias("ts"), *cols)
 
