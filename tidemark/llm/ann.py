@@ -23,7 +23,7 @@ from tidemark.llm.shared import cut
 FIT = 16_384
 TREES, LEAF = 8, 32
 #: A query's leaves hold, for each tree, at least this share of all different vectors ...
-SHARE = 0.08
+SHARE = 0.1
 #: ... and at least so many.
 LEAST = 2_000
 #: Vectors of a leaf that meet its queries in one group; a larger leaf is several groups.
