@@ -23,6 +23,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 SAMPLE = 2048
 #: Costs of a probe that is shuffled and of a candidate that is verified.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.03
+#: Parts that the fingerprints of a component are dealt into when they get its smallest key.
+SALTS = 16
 #: Buckets up to this size are verified by shifted comparisons of a whole batch at once.
 SMALL = 12
 
@@ -270,7 +272,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
         ends = components(links(distinct, plan(sample, n, radius), radius))
         joined = distinct.join(ends.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
         least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-        named = joined.join(least, "_root").select("fp", "component_id")
+        # a component may hold any number of fingerprints: its one row goes to each of SALTS parts of them
+        salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = joined.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["_root", "_salt"]).select("fp", "component_id")
     else:
         named = distinct.select("fp", F.col("_least").alias("component_id"))
     return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
