@@ -24,7 +24,7 @@ from tidemark.llm.shared import mapped, publish, shared_dir, text_column
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Tokens that a task counts together before it sends its pairs on.
-TOGETHER = 3_000_000
+TOGETHER = 2_000_000
 #: One in so many texts is looked at to find first words to split; it only decides on what shard a pair is.
 LOOK = 16
 _U = np.uint64
@@ -147,7 +147,7 @@ def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and the sums of each value."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return key[at], *((np.add.reduceat(v[order], at) if len(at) else v[:0]) for v in values), order[at]
@@ -184,8 +184,9 @@ def train(docs: DataFrame, learn, text: str = "text", shards: int | None = None)
             yield send(held)
 
     def send(held) -> pa.RecordBatch:
-        first, second = (np.concatenate(x) for x in zip(*held))
-        _, c, pick = _summed(textscan.pair_key(first, second), np.ones(len(first), np.int64))
+        first, second = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        held.clear()
+        _, c, pick = _summed(textscan.pair_key(first, second), np.ones(len(first), np.int32))
         first, second = first[pick], second[pick]
         shard = layout.of_pairs(first, second)
         order = np.argsort(shard.astype(np.uint64) << _U(44) | first >> _U(20))
@@ -383,7 +384,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         reader = model.reader()
         for b in batches:
             out = []
-            for w in textscan.scan(b.column(0), most=4 << 20):
+            for w in textscan.scan(b.column(0), most=2 << 20):
                 first, second, begin = pairs(w)
                 log, seen, base = reader.logs(first, second)
                 n = np.diff(np.append(begin, len(first)))
