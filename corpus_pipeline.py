@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, nbest, quality, simhash, toxicity
 from tidemark.llm.labels import remainder
 from tidemark.llm.queries import table, vocabulary
-from tidemark.llm.shared import shared_dir
+from tidemark.llm.shared import cut, shared_dir
 
+#: Ids of rejected documents that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,22 +31,37 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, machine, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows that have one of ``ids`` (column ``_id``; a null id is an id).
+
+    Up to BROADCAST_IDS ids are broadcast, so the texts stay where they are; more are joined by a
+    shuffle.  The result is the same.
+    """
+    ids = cut(ids.distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+
+
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    out = docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"])).select(*[docs[c] for c in COLUMNS], "_n")
-    # an id with several rows (repeated rows): one of them, the least, stays
-    one = out.where("_n = 1").drop("_n")
-    many = out.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("_r")).select("_r.*")
-    return one.unionByName(many)
+    """One document of each SimHash component: the one with the smallest id.
+
+    Of rows that share the smallest id (repeated rows), the least stays.
+    """
+    found = cut(simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_least")))
+    by_id = cut(found.groupBy("_id").agg(F.max("_least").alias("_keep"), F.count(F.lit(1)).alias("_n")))
+    out = _without(docs.select(*COLUMNS), by_id.where("not _keep").select("_id"))
+    many = by_id.where("_keep and _n > 1").select("_id")
+    if many.isEmpty():
+        return out
+    one = _without(out, many)
+    rest = out.join(many, out["doc_id"].eqNullSafe(many["_id"]), "left_semi")
+    return one.unionByName(rest.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("_r")).select("_r.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs.select(*COLUMNS), found.where("n_hit > 0").select(F.col("doc_id").alias("_id")))
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
