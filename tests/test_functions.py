@@ -18,7 +18,7 @@ def series(spark, values):
     return spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(values)], SERIES)
 
 
-def test_tags(spark):
+def test_tags(spark, tmp_path):
     rows = [("s1", "location", "datacenter1"), ("s1", "type", "temperature"), ("s2", "location", "datacenter2"), ("s2", "type", "temperature"), ("s3", "location", "datacenter1"), ("s3", "type", "humidity"), ("s4", "location", "datacenter1"), ("s4", "type", "temperature")]
     t = indexes.TagIndex(spark.createDataFrame(rows, "device string, key string, value string"))
     names = lambda df: sorted(r[0] for r in df.collect())
@@ -27,6 +27,8 @@ def test_tags(spark):
     assert names(t.query_or([("type", "temperature"), ("type", "humidity")])) == ["s1", "s2", "s3", "s4"]
     assert names(t.query_and([])) == names(t.query_or([])) == []
     assert tuple(t.counts().first()) == (4, 4)
+    t.write(str(tmp_path / "tags"))
+    assert names(indexes.TagIndex.read(spark, str(tmp_path / "tags")).query("type", "humidity")) == ["s3"]
 
 
 def test_bloom():

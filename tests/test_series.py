@@ -142,6 +142,11 @@ def test_writer(spark, tmp_path):
     assert list(s.iterate("d", "t")) == [(1, 1.0), (3, 3.0)]
     assert list(s.iterate("e", "t")) == [(1, 5.0)]
     assert Series.open(spark, str(tmp_path / "w/text")).count("e", "s").first()[0] == 2
+    files = list((tmp_path / "w").rglob("*.parquet"))
+    assert Series.file_size(spark, str(tmp_path / "w")) == sum(f.stat().st_size for f in files)
+    kept = s.cached()
+    assert kept.count("d", "t").first()[0] == 2
+    kept.clear_cache()
 
 
 def test_types():
@@ -187,3 +192,12 @@ def test_streaming(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("live_stats").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("live_stats").collect()) == [60, 60, 60, 60, 60]
+
+
+def test_ship(spark):
+    import zipfile
+
+    from tidemark.deploy import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert "tidemark/types.py" in names and "tidemark/operators/scan.py" in names

@@ -7,7 +7,7 @@ import struct
 from dataclasses import dataclass
 
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import CodecError
@@ -28,6 +28,13 @@ class TagIndex:
         pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("key"), rows[c].cast("string").alias("value")) for c in columns]))
         return cls(rows.select(rows[device].alias("device"), pairs).where("value is not null").distinct())
 
+    def write(self, path: str) -> None:
+        self.tags.select(self.device, "key", "value").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, device: str = "device") -> TagIndex:
+        return cls(spark.read.parquet(path), device)
+
     def _any(self, wanted: list[tuple[str, str]]) -> DataFrame:
         hit = F.lit(False)
         for k, v in wanted:

@@ -33,6 +33,12 @@ class Series:
         """A dataset that a SeriesWriter has written, or any Parquet folder of the long layout."""
         return cls(spark.read.parquet(path), **names)
 
+    @staticmethod
+    def file_size(spark, path: str) -> int:
+        """Bytes of a dataset's files, from the store's listing: no file is read."""
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+        return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
     def cached(self) -> Series:
         """The same series, kept in memory and on disk from its first use on."""
         return replace(self, df=self.df.persist())
