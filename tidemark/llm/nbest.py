@@ -307,10 +307,11 @@ class Segmenter:
     def segment(self, texts: list[str]) -> list[list[tuple[int, bytes]]]:
         """Of each text: up to n (value, ids), best first."""
         split = [self.split(t) for t in texts]
-        new = list({p for parts in split for p in parts if p not in self.at})
+        different = set().union(*split)
+        new = [p for p in different if p not in self.at]
         if len(self.at) + len(new) > CACHE:
             self.clear()
-            new = list({p for parts in split for p in parts})
+            new = list(different)
         if new:
             self.learn(new)
         return [self._whole(parts) for parts in split]
