@@ -54,8 +54,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     )
     offsets = cut(offsets)
     on_line = placed.join(F.broadcast(offsets), "_part")
-    twice_middle = (F.col("_bytes_ahead") + F.col("_upto")) * 2 - F.col("_size")
-    shard = F.least(F.lit(shards - 1), F.floor((twice_middle * shards).cast("decimal(38,0)") / (F.col("_all") * 2).cast("decimal(38,0)"))).cast("int")
+    # whole numbers throughout: exact up to some 10^17 bytes for 40 shards
+    shard = F.least(F.lit(shards - 1), F.expr(f"(((_bytes_ahead + _upto) * 2 - _size) * {shards}) div (_all * 2)")).cast("int")
     dealt = on_line.select("_key", "_size", "_crc", shard.alias("shard"), (F.col("_rows_ahead") + F.col("_rank") - 1).alias("_row"))
     dealt = cut(dealt)
     starts = dealt.groupBy("shard").agg(F.min("_row").alias("_start"))  # at most ``shards`` rows
