@@ -16,10 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        ensure_checkpoints(spark)
         base = spark.sparkContext.getCheckpointDir()
-        if not base or base.startswith("file:/tmp/checkpoints/"):
-            base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            spark.sparkContext.setCheckpointDir(base)
     if "://" not in base:
         base = "file://" + (base[5:] if base.startswith("file:") else base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
