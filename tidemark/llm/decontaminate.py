@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textscan
-from tidemark.llm.shared import stored, text_column
+from tidemark.llm.shared import claim, stored, text_column
 
 WINDOW = 10
 #: Words on either side of the rarest term in which a proximity match has all terms of a window.
@@ -76,6 +76,7 @@ def build_index(docs: DataFrame, terms, key: str = "doc_id", text: str = "text")
     kind = docs.schema[key].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         known = terms.value
         for b in batches:
             off, raw = textscan.buffers(b.column(1))

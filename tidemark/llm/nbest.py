@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_column
+from tidemark.llm.shared import claim, text_column
 from tidemark.llm.token_count import pre_tokens
 
 #: A vocabulary file's mark of a blank.  The lattice has blanks themselves, so the mark in a text is a character like any other.
@@ -31,7 +31,7 @@ STEP = 1 << 20
 UNKNOWN = 10
 #: Parts up to so many characters are solved together with numpy.
 TOGETHER = 48
-CACHE = 400_000
+CACHE = 300_000
 _NEVER = -(1 << 61)
 
 
@@ -396,6 +396,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str =
     more = ", segmentations array<array<int>>" if ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("nbest", _segmenters.clear)
         own = segmenter(path, n)
         for b in batches:
             for lo in range(0, b.num_rows, 512):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textscan
 from tidemark.llm.labels import labelled
-from tidemark.llm.shared import text_column
+from tidemark.llm.shared import claim, text_column
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -167,6 +167,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, key:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             z = [shared.value.logits(*f) for f in features(b.column(0), b.column(1).to_numpy())]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -30, 30)))

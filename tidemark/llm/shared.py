@@ -95,3 +95,22 @@ def text_column(docs: DataFrame, name: str = "text"):
     from pyspark.sql import functions as F
 
     return F.coalesce(docs[name].cast("string"), F.lit(""))
+
+
+_claims: dict = {}
+
+
+def claim(name: str, clear=None) -> None:
+    """Say that this Python worker now runs an operator: what others have cached in it goes.
+
+    ``clear`` empties the operator's own caches when another one's turn comes.
+    """
+    import gc
+
+    others = [k for k in _claims if k != name]
+    for k in others:
+        if (drop := _claims.pop(k)) is not None:
+            drop()
+    if others:
+        gc.collect()
+    _claims[name] = clear

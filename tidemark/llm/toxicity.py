@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textscan
 from tidemark.llm.labels import labelled
-from tidemark.llm.shared import text_column
+from tidemark.llm.shared import claim, text_column
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS, DIM, HIDDEN, ATTEND = 14, 14, 8, 8, 8
@@ -408,10 +408,11 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, key: str
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         own = shared.value
         for b in batches:
             best, where, many = [], [], []
-            for w in textscan.scan(b.column(0), textscan.MARKS, most=4 << 20):
+            for w in textscan.scan(b.column(0), textscan.MARKS):
                 doc, first, _, logit = window_logits(own, prepare(w))
                 begin = np.searchsorted(doc, np.arange(w.hi - w.lo))
                 top = np.maximum.reduceat(logit, begin)
