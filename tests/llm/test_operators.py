@@ -118,6 +118,28 @@ def test_whole_texts_are_brute_force(lattice):
         assert len({i for _, i in found}) == len(found) and all(ids[i] == v for v, i in found)
 
 
+def test_values_beyond_64_bits(spark):
+    """10,000 indented lines, double blanks, and one run of 200,000 blanks."""
+    texts = ["\n".join(["    x"] * 10_000), "a  b" * 10_000, "a" + " " * 200_000 + "b"]
+    lat = nbest.segmenter(queries.vocabulary(), 4).lattice
+    plain = {i: round(v / nbest.STEP) for i, v in enumerate(lat.value.tolist())}  # whole scores
+    plain[lat.bytes_at[10]] = lat.unknown  # the one byte piece here: a line's end
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in nbest.encode(df, queries.vocabulary()).collect():
+        assert r.round_trip and len(r.scores) == 4 and len(set(r.digests)) == 4
+        assert r.scores == [sum(plain[i] for i in s) * lat.unit for s in r.segmentations] == sorted(r.scores, reverse=True)
+        assert r.lengths == [len(s) for s in r.segmentations] and r.scores[0] < -(10**9) * 8_797
+
+
+def test_more_than_255_segmentations_of_a_long_part(lattice):
+    part = " " + "a" * 60
+    many = lattice._n_best_long(part, 600)
+    lists = [[0]] + [[] for _ in part]  # the plain way: each place's 600 best values
+    for j, row in enumerate(lattice.edges(part)[1:], 1):
+        lists[j] = sorted((x + v for i, v, _ in row for x in lists[i]), reverse=True)[:600]
+    assert [v for v, _ in many] == lists[-1] and len({i for _, i in many}) == 600
+
+
 def test_encode(spark, docs, rows, empty):
     path = queries.vocabulary()
     out = nbest.encode(docs, path).collect()

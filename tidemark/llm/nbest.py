@@ -13,7 +13,6 @@ among texts' segmentations alike in score and number, the one that leaves the be
 from __future__ import annotations
 
 import heapq
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,10 +145,10 @@ class Lattice:
     def _n_best_long(self, part: str, n: int) -> list[tuple[int, bytes]]:
         """The same search in memory that grows with the part: hypotheses are chains, a place is gone
         on from n times at most, and equals are taken last in, first out, the longest piece last in."""
-        ahead = array("q", [0]) * (len(part) + 1)
+        ahead = [0] * (len(part) + 1)  # Python integers: a long part's value has no bound
         for j in range(1, len(part) + 1):
             ahead[j] = max(ahead[i] + v for i, v, _ in self.edges_to(part, j))
-        visits = bytearray(len(part) + 1)
+        visits = [0] * (len(part) + 1)
         end, turn = len(part), 0
         heap: list = [(-ahead[end], 0, end, 0, None)]
         out: list = []
@@ -162,7 +161,7 @@ class Lattice:
                     lens.append(step)
                 out.append((passed, self._ids_of(part, lens[::-1])))
                 continue
-            if visits[at] >= min(n, 255):
+            if visits[at] >= n:
                 continue
             visits[at] += 1
             for i, v, _ in reversed(self.edges_to(part, at)):
@@ -181,10 +180,10 @@ class Lattice:
 
     # ---- many parts at once
 
-    def best_of(self, parts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def best_of(self, parts: list[str]) -> tuple[list[bytes], list[int], np.ndarray]:
         """Of each part: the best ids, its value, and how far the second best is below (-1: none)."""
         ids: list = [b""] * len(parts)
-        value, gap = np.zeros(len(parts), np.int64), np.full(len(parts), -1, np.int64)
+        value, gap = [0] * len(parts), np.full(len(parts), -1, np.int64)
         by: dict[int, list[int]] = {}
         for i, p in enumerate(parts):
             if 0 < len(p) <= TOGETHER:
@@ -197,9 +196,9 @@ class Lattice:
             for lo in range(0, len(own), 4096):
                 rows = own[lo : lo + 4096]
                 got, v, g = self._together([parts[i] for i in rows], width)
-                value[rows], gap[rows] = v, g
-                for i, x in zip(rows, got):
-                    ids[i] = x
+                gap[rows] = g
+                for i, x, y in zip(rows, got, v.tolist()):
+                    ids[i], value[i] = x, y
         return ids, value, gap
 
     def _together(self, parts: list[str], width: int):
@@ -291,16 +290,17 @@ class Segmenter:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.value, self.gap = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.total, self.gap = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # scores without STEP
         self.more: dict[str, list[tuple[int, bytes]]] = {}
 
     def learn(self, parts: list[str]) -> None:
         """Solve parts that the cache doesn't hold."""
         ids, value, gap = self.lattice.best_of([part_form(p) for p in parts])
         at = len(self.ids)
-        while at + len(parts) > len(self.value):
-            self.value, self.gap = np.concatenate([self.value, self.value]), np.concatenate([self.gap, self.gap])
-        self.value[at : at + len(parts)], self.gap[at : at + len(parts)] = value, gap
+        while at + len(parts) > len(self.total):
+            self.total, self.gap = np.concatenate([self.total, self.total]), np.concatenate([self.gap, self.gap])
+        self.total[at : at + len(parts)] = [(v + len(i) // 2) // STEP for v, i in zip(value, ids)]
+        self.gap[at : at + len(parts)] = gap
         self.ids += ids
         self.at.update(zip(parts, range(at, at + len(parts))))
 
@@ -328,8 +328,10 @@ class Segmenter:
             return [(0, b"")]
         at = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
         pieces = [self.ids[i] for i in at.tolist()]
-        total = int(self.value[at].sum())
-        out = [(total, b"".join(pieces))]
+        joined = b"".join(pieces)
+        # scores and numbers of pieces are summed apart: a text's value may be beyond 64 bits
+        total = int(self.total[at].sum()) * STEP - len(joined) // 2
+        out = [(total, joined)]
         if self.n < 2:
             return out
         gap = self.gap[at]
