@@ -532,6 +532,21 @@ def test_decontamination(spark, rows, docs, empty, monkeypatch):
     assert several == sorted({repr(w): w for w in want}.values(), key=repr)
 
 
+def test_passes_return_every_row(spark, monkeypatch):
+    """Repeated and null ids, with equal and with different texts, in one pass and in several."""
+    items = [(k, " ".join(f"q{k}x{j}" for j in range(12))) for k in range(40)]
+    texts = ["clean words", items[0][1], "a " + items[1][1] + " b " + items[2][1], items[2][1], None]
+    rows = [(i, t) for i in (1, None, 2) for t in texts] + [(1, texts[1]), (None, texts[1]), (3, texts[0])]
+    want = sorted(((i, *plain_hits(t, items)) for i, t in rows), key=repr)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (decontaminate.PASS_WORDS, 150):
+        monkeypatch.setattr(decontaminate, "PASS_WORDS", most)
+        out = decontaminate.decontaminate(docs, benchmark)
+        assert out.schema["doc_id"].dataType.simpleString() == "bigint"
+        assert got(out, "doc_id", "n_words", "n_hit", "items") == want
+
+
 # ---- 9: URLs
 
 

@@ -168,8 +168,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ne
     word and number of words of each exact match).
 
     The benchmark's words are counted first; beyond ``PASS_WORDS`` its items are searched in more
-    passes, so what is broadcast has a bound.  Null texts have no words; documents and items may
-    repeat; an empty table gives no rows, and an empty benchmark no hits; other columns are ignored.
+    passes, so what is broadcast has a bound.  The result has a row for every row of ``docs``, in one
+    pass or more.  Null texts have no words; documents and items may repeat; an empty table gives no rows, and an empty benchmark no hits; other columns are ignored.
     """
     import pyarrow as pa
 
@@ -178,7 +178,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ne
     sized = benchmark.select(benchmark[item].cast("string").alias("item"), text_column(benchmark, item_text).alias("text"))
     words = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2 + 1  # at most
     passes = int(-(-words // PASS_WORDS))
-    out = None
+    returned, out = key, None
+    if passes > 1:
+        # each row gets a place that all passes know it by: ids may repeat or be null
+        place = F.struct(F.monotonically_increasing_id().alias("n"), docs[key].alias("id")).alias("_place")
+        docs, key = stored(docs.select(place, text_column(docs, text).alias("text")), "texts"), "_place"
+        text, kind = "text", docs.schema[key].dataType.simpleString()
     for k in range(passes):
         rows = sized.where((F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)) if passes > 1 else sized
         found = phrases([(r[0], r[1]) for r in rows.collect()], width)  # at most about PASS_WORDS words
@@ -219,12 +224,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ne
         one = segments.mapInArrow(search, f"`{key}` {kind}, n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<first: long, size: long>>")
         out = one if out is None else out.unionByName(one)
     if passes > 1:
-        # hits of several passes may overlap: each document's few matches are put together again
+        # hits of several passes may overlap: each row's few matches are put together again
         spans = F.array_distinct(F.flatten(F.collect_list("spans")))
         merged = out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
         covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.first + x.size - F.greatest(x.first, a.upto))).alias("n"), F.greatest(a.upto, x.first + x.size).alias("upto")), lambda a: a.n)
-        out = merged.withColumn("n_hit", covered)
-    return out.select(key, "n_words", "n_hit", "items", F.size("near_items").alias("n_near"), "spans")
+        out = merged.withColumn("n_hit", covered).withColumn(returned, F.col(f"{key}.id"))
+    return out.select(returned, "n_words", "n_hit", "items", F.size("near_items").alias("n_near"), "spans")
 
 
 def item_digest(items: list[str]) -> str:
