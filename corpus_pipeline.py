@@ -14,8 +14,8 @@ from tidemark.llm.labels import remainder
 from tidemark.llm.queries import table, vocabulary
 from tidemark.llm.shared import cut, shared_dir
 
-#: Ids of rejected documents that are broadcast at most (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Keys of rejected rows that are broadcast at most (16 bytes each, about 100 in a hash table).
+BROADCAST_KEYS = 500_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -31,37 +31,47 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, machine, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have one of ``ids`` (column ``_id``; a null id is an id).
+def _row_key():
+    """16 bytes for a row's id and text: rows with the same key are judged alike, whatever else shares their id."""
+    told = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return F.unhex(F.md5(told.cast("binary")))
 
-    Up to BROADCAST_IDS ids are broadcast, so the texts stay where they are; more are joined by a
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows that have one of the different keys ``keys`` (column ``_row``).
+
+    Up to BROADCAST_KEYS keys are broadcast, so the texts stay where they are; more are joined by a
     shuffle.  The result is the same.
     """
-    ids = cut(ids.distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+    keys = cut(keys)
+    few = keys.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, "_row", "left_anti")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id.
+    """One row of each SimHash component: the one with the smallest id, null ids last.
 
-    Of rows that share the smallest id (repeated rows), the least stays.
+    Of different texts with the smallest id one stays, and of rows alike in id and text the least.
     """
-    found = cut(simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_least")))
-    by_id = cut(found.groupBy("_id").agg(F.max("_least").alias("_keep"), F.count(F.lit(1)).alias("_n")))
-    out = _without(docs.select(*COLUMNS), by_id.where("not _keep").select("_id"))
-    many = by_id.where("_keep and _n > 1").select("_id")
+    docs = docs.select(*COLUMNS, _row_key().alias("_row"))
+    ranked = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")).alias("_rank"), "text")
+    found = simhash.near_duplicates(ranked, key="_rank")
+    # equal keys are equal texts: one fingerprint, one component
+    by_row = cut(found.groupBy(F.col("_rank.row").alias("_row")).agg(F.max(F.col("_rank.row") == F.col("component_id.row")).alias("_keep"), F.count(F.lit(1)).alias("_n")))
+    out = _without(docs, by_row.where("not _keep").select("_row"))
+    many = by_row.where("_keep and _n > 1").select("_row")
     if many.isEmpty():
-        return out
-    one = _without(out, many)
-    rest = out.join(many, out["doc_id"].eqNullSafe(many["_id"]), "left_semi")
-    return one.unionByName(rest.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("_r")).select("_r.*"))
+        return out.select(*COLUMNS)
+    one = _without(out, many).select(*COLUMNS)
+    rest = out.join(many, "_row", "left_semi")
+    return one.unionByName(rest.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("_r")).select("_r.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs.select(*COLUMNS), found.where("n_hit > 0").select(F.col("doc_id").alias("_id")))
+    """Without the rows whose text holds a window of a benchmark item."""
+    docs = docs.select(*COLUMNS, _row_key().alias("_row"))
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), key="_row")
+    return _without(docs, found.where("n_hit > 0").select("_row").distinct()).select(*COLUMNS)
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,32 @@ def test_repeated_ids_and_nulls(spark):
     assert sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect()) == [(1, "a b c d e"), (3, None), (5, "p q r s t u")]
 
 
+
+
+def crowded(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.mark.parametrize("few", [pipeline.BROADCAST_KEYS, 0])
+def test_one_id_on_different_texts(spark, monkeypatch, few):
+    """Rows with one id, or none, go or stay by their own texts."""
+    monkeypatch.setattr(pipeline, "BROADCAST_KEYS", few)
+    texts = [" ".join(f"v{k}x{j}" for j in range(30)) for k in range(12)]
+    rows = [(7, t) for t in texts[:5]] + [(None, t) for t in texts[4:9]] + [(8, texts[9]), (8, texts[0]), (6, texts[1])]
+    rows += [(7, texts[2]), (None, texts[5]), (None, None), (9, "")]
+    out = pipeline.one_of_near_duplicates(spark, crowded(spark, rows), DATA)
+    least = {}
+    for i, t in rows:
+        least[t or ""] = min((i is None, i or 0), least.get(t or "", (True, 0)))
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in out.collect()) == sorted((i, t) for t, i in least.items())
+    assert out.columns == pipeline.COLUMNS
+
+
+@pytest.mark.parametrize("few", [pipeline.BROADCAST_KEYS, 0])
+def test_benchmark_takes_only_rows_that_are_hit(spark, monkeypatch, few):
+    monkeypatch.setattr(pipeline, "BROADCAST_KEYS", few)
+    leak = next(r.text for r in queries.table(spark, DATA, "benchmark").collect() if len((r.text or "").split()) >= 12)
+    rows = [(i, t) for i in (1, None) for t in ("clean words", leak, "more clean words", None, "clean words")] + [(2, "clean words")]
+    out = pipeline.without_benchmark(spark, crowded(spark, rows), DATA)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(((i, t) for i, t in rows if t != leak), key=repr)
+    assert out.columns == pipeline.COLUMNS
