@@ -459,9 +459,97 @@ def test_toxicity(labelled, docs, rows, empty):
     assert max(r.windows for r in out) > 1000
     assert toxicity.score(empty, net).count() == 0
     one = toxicity.train(empty, marks, F.lit(True))
+    only = toxicity.train(own, marks.where("toxic = 0"), F.lit(True))
+    assert all(r.score < 0.1 for r in toxicity.score(docs, only).collect())
     assert len({round(r.score, 9) for r in toxicity.score(docs, one).collect()}) == 1
 
 
+@pytest.mark.parametrize(("name", "n", "out"), [("quality", 3, 1), ("toxic", 5, 0)])
+def test_held_out_labels_teach_nothing(labelled, name, n, out):
+    """Whatever the held-out labels say, every score stays equal to the bit; with a bound that bites, too."""
+    own, marks, _ = labelled
+    own = own.withColumn("held_out", labels.remainder(F.col("doc_id"), n) == out)
+    held = labels.remainder(F.col("doc_id"), n) == out
+    runs = []
+    for flip in (F.col(name), F.when(held, 1).otherwise(F.col(name)), F.when(held, 0).otherwise(F.col(name)), F.when(held, F.lit(None)).otherwise(F.col(name))):
+        told = marks.withColumn(name, flip.cast("int"))
+        if name == "quality":
+            runs.append(got(quality.score(own, quality.train(own, told, ~F.col("held_out"), each=100)), "doc_id", "score"))
+        else:
+            runs.append(got(toxicity.score(own, toxicity.train(own, told, ~F.col("held_out"), each=(60, 100))), "doc_id", "score"))
+    assert runs[1] == runs[0] and runs[2] == runs[0] and runs[3] == runs[0]
+
+
+def test_the_bound_is_filled_from_rows_to_learn_from(labelled):
+    """Held-out and absent documents take no place from those that teach."""
+    own, marks, truth = labelled
+    learn = own.where("doc_id >= 600")
+    keys = labels.learnable(learn, marks, "toxic")
+    assert {r._k: r.y for r in keys.collect()} == {i: t for i, (_, t) in truth.items() if i >= 600}
+    rows = labels.labelled(learn, keys, (50, 40))
+    assert {r[0]: r[1] for r in rows.groupBy("y").count().collect()} == {0: 50, 1: 40}
+    assert labels.shares(keys) == {k: sum(t == k for i, (_, t) in truth.items() if i >= 600) for k in (0, 1)}
+
+
+def plain_worst_window(net, text):
+    """The worst window's logit and its first word, one word and one step at a time."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def inputs(w):
+        h = int(textscan.hash_words([w])[0])
+        b, _ = toxicity.grams_of(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+        return np.concatenate([p["word"][h >> (64 - toxicity.WORD_BITS)], p["gram"][b].mean(0) if len(b) else np.zeros(toxicity.DIM)])
+
+    def side(xs, d):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            gi, gh = x @ p["x" + d] + p["b" + d], h @ p["h" + d]
+            n = toxicity.HIDDEN
+            z, r = sig(gi[:n] + gh[:n]), sig(gi[n : 2 * n] + gh[n : 2 * n])
+            new = np.tanh(gi[2 * n :] + r * gh[2 * n :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    best = []
+    for lo in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        xs = [inputs(w) for w in words[lo : lo + toxicity.WINDOW]]
+        states = [np.concatenate(s) for s in zip(side(xs, "f"), side(xs[::-1], "b")[::-1])]
+        weight = np.exp([np.tanh(s @ p["att"]) @ p["att_v"] for s in states])
+        pooled = sum(w * s for w, s in zip(weight / weight.sum(), states)) if states else np.zeros(2 * toxicity.HIDDEN)
+        best.append((-(pooled @ p["out"] + p["bias"][0]), lo))
+    return -min(best)[0], min(best)[1], len(best)
+
+
+def test_toxicity_is_the_plain_network(spark, labelled, rows):
+    own, marks, _ = labelled
+    net = toxicity.train(own, marks, F.lit(True), each=(100, 200))
+    texts = [t for _, t in rows if len(t or "") < 5_000][:40] + [None, "", "%%", "a", " ".join(f"word{k}" for k in range(49))]
+    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        logit, at, many = plain_worst_window(net, t)
+        assert out[i].windows == many and out[i].score == pytest.approx(float(net.probability(np.array([logit]))[0]), abs=2e-5)
+        assert out[i].predicted == int(out[i].score >= 0.5)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Only very long texts, each with one bad word deep inside."""
+    rnd = random.Random(9)
+    vocab = [f"plain{k}" for k in range(300)]
+    made = []
+    for i in range(400):
+        words = [rnd.choice(vocab) for _ in range(1_000)]
+        if i % 2:
+            words[rnd.randrange(1_000)] = "scoundrel"
+        made.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    net = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int"), F.col("doc_id") < 300)
+    out = toxicity.score(docs.where("doc_id >= 300"), net).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in out) >= 0.95 * len(out)
+
+
 def test_gradients(monkeypatch):
     monkeypatch.setattr(toxicity, "_F", np.float64)
     rnd = np.random.default_rng(0)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textscan
-from tidemark.llm.labels import labelled
+from tidemark.llm.labels import labelled, learnable
 from tidemark.llm.shared import claim, text_column
 
 BUCKETS = 1 << 15
@@ -127,14 +127,16 @@ def fit(begin, bucket, value, stats, y, rank: int = RANK, passes: int = 12, rate
 def train(docs: DataFrame, labels: DataFrame, learn, each: int = EACH, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> Machine:
     """Fit on the labelled rows of ``docs`` with ``learn``: at most ``each`` of either class.
 
-    Features are made by the executors; the driver gets slim numbers.  Without labelled rows the
-    machine scores every text a half.
+    Labels of other rows are never looked at.  Features are made by the executors; the driver gets
+    slim numbers, at most 6 bytes for each of ``BUCKETS`` from a row.  Rows with a null key or label
+    teach nothing, and repeated rows count once.  Without labelled rows the machine scores every text
+    a half.
     """
     import pyarrow as pa
 
     chosen = docs.where(learn)
     n_chars = F.coalesce(chosen[chars].cast("long"), F.lit(0)) if chars else F.lit(0).cast("long")
-    rows = labelled(chosen.withColumn("_chars", n_chars), labels, "quality", (each, each), key, text, ["_chars"])
+    rows = labelled(chosen.withColumn("_chars", n_chars), learnable(chosen, labels, "quality", key), (each, each), key, text, ["_chars"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,6 +3,10 @@
 A word's input is its hashed embedding beside the mean embedding of its character n-grams, so
 unseen forms of a known stem are recognised.  A text is scored in overlapping windows that cover all
 of its words, and its score is that of its worst window.  Training and scoring are numpy.
+
+Executors read the labelled texts: they count words over whole texts, pick the windows that the
+network learns from, and find each text's worst window for the calibration.  The driver gets windows
+and numbers of bounded size, never texts.
 """
 
 from __future__ import annotations
@@ -15,14 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textscan
-from tidemark.llm.labels import labelled
-from tidemark.llm.shared import claim, text_column
+from tidemark.llm.labels import labelled, learnable, shares
+from tidemark.llm.shared import claim, stored, text_column
 
 WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS, DIM, HIDDEN, ATTEND = 14, 14, 8, 8, 8
 GRAMS = (3, 4, 5)
 #: Labelled rows that the network is trained on, at most: toxic ones and others.
 EACH = (1_500, 4_000)
+#: Windows of a labelled text that the network learns from, at most: the worst by log-odds, and some by chance.
+PICKED, CHANCE = 10, 4
+#: Tasks that read the labelled texts.
+TASKS = 32
 _F = np.float32
 
 
@@ -187,12 +195,17 @@ class Network:
 class Texts:
     """Texts as different words and the words' order."""
 
-    word: np.ndarray  # bucket of each different word
+    hash: np.ndarray  # of each different word
     grams: np.ndarray
     begin: np.ndarray
     at: np.ndarray  # of each word of the texts, its different word
     first: np.ndarray  # of each text, and one more
 
+    @property
+    def word(self) -> np.ndarray:
+        """The bucket of each different word."""
+        return (self.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
 
 def prepare(w: textscan.Words) -> Texts:
     h, one, at = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -200,42 +213,13 @@ def prepare(w: textscan.Words) -> Texts:
         grams, begin = grams_of(w.data, w.start[one], w.end[one])
     else:
         grams, begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
-    return Texts((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), grams, begin, at, w.first)
-
-
-def prepare_all(texts: list[str], block: int = 1 << 20) -> Texts:
-    """``prepare`` over many texts, a block of bytes at a time."""
-    sizes = [len(t.encode()) for t in texts]
-    off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    hashes, grams, begins, ats, counts = [], [], [np.zeros(1, np.int64)], [], []
-    for lo, hi in textscan.groups(off, block):
-        raw = np.frombuffer("".join(texts[lo:hi]).encode(), np.uint8)
-        w = textscan.words(raw, off[lo : hi + 1] - off[lo], textscan.MARKS)
-        h, one, at = np.unique(w.hash, return_index=True, return_inverse=True)
-        counts.append(np.diff(w.first))
-        if not len(h):
-            continue
-        g, b = grams_of(w.data, w.start[one], w.end[one])
-        ats.append((at + sum(map(len, hashes))).astype(np.int32))
-        hashes.append(h)
-        grams.append(g.astype(np.int32))
-        begins.append(b[1:] + begins[-1][-1])
-    if not hashes:
-        return Texts(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
-    every, begin = np.concatenate(hashes), np.concatenate(begins)
-    h, one, place = np.unique(every, return_index=True, return_inverse=True)
-    many = begin[one + 1] - begin[one]
-    cuts = np.concatenate([[0], np.cumsum(many)])
-    pick = np.repeat(begin[one] - cuts[:-1], many) + np.arange(cuts[-1])
-    return Texts((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), np.concatenate(grams)[pick], cuts, place.astype(np.int32)[np.concatenate(ats)], np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
-
-
-def window_logits(net: Network, t: Texts, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, size, logit) of every window of every text."""
-    doc, first, size = windows_of(np.diff(t.first))
-    logit = np.empty(len(doc), _F)
-    x = net.inputs(t.word, t.grams, t.begin) if len(t.word) else np.zeros((1, 2 * DIM), _F)
-    begin = t.first[doc] + first
+    return Texts(h, grams, begin, at, w.first)
+
+
+def logits_of(net: Network, t: Texts, begin: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The logit of each window, given by its first place in ``t.at`` and its size."""
+    logit = np.empty(len(begin), _F)
+    x = net.inputs(t.word, t.grams, t.begin) if len(t.hash) else np.zeros((1, 2 * DIM), _F)
     step = np.arange(WINDOW)
     at = t.at if len(t.at) else np.zeros(1, np.int64)
     full = np.flatnonzero(size == WINDOW)
@@ -249,16 +233,103 @@ def window_logits(net: Network, t: Texts, block: int = 2048) -> tuple[np.ndarray
         steps = max(1, int(size[rows].max()))
         mask = step[None, :steps] < size[rows, None]
         logit[rows] = net.run(x, at[np.minimum(begin[rows, None] + step[:steps], len(at) - 1)], mask)
-    return doc, first, size, logit
+    return logit
+
+
+def window_logits(net: Network, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, size, logit) of every window of every text."""
+    doc, first, size = windows_of(np.diff(t.first))
+    return doc, first, size, logits_of(net, t, t.first[doc] + first, size)
+
+
+def worst_windows(net: Network, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its worst window's logit, that window's first word (the first of equals), and its number of windows."""
+    doc, first, _, logit = window_logits(net, t)
+    n = len(t.first) - 1
+    top = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(n)))
+    at = np.flatnonzero(logit == top[doc])
+    return top, first[at[np.searchsorted(doc[at], np.arange(n))]], np.bincount(doc, minlength=n)
+
+
+@dataclass
+class Lesson:
+    """Windows of labelled texts: their words, where each begins, and whose it is."""
+
+    texts: Texts
+    begin: np.ndarray  # of each window, its first place in texts.at
+    size: np.ndarray
+    doc: np.ndarray  # rises
+    first: np.ndarray  # a first judgement of each window
+
+
+def counted(t: Texts, y: np.ndarray) -> list[np.ndarray]:
+    """How many texts, and how many toxic ones, have each word bucket and each n-gram bucket."""
+    out = [np.zeros(1 << b, np.int32) for b in (WORD_BITS, WORD_BITS, GRAM_BITS, GRAM_BITS)]
+    for i in range(len(y)):
+        own = np.unique(t.at[t.first[i] : t.first[i + 1]])
+        if not len(own):
+            continue
+        many = t.begin[own + 1] - t.begin[own]
+        at = np.repeat(t.begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        for k, what in enumerate((t.word[own], t.grams[at])):
+            seen = np.unique(what)
+            out[2 * k][seen] += 1
+            out[2 * k + 1][seen] += int(y[i])
+    return out
+
+
+def log_odds(counts: list[np.ndarray], bad: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of toxic texts for each word and n-gram bucket."""
+    lift = lambda b, a: np.log((b + 1) / (bad + 2)) - np.log((a - b + 1) / (n - bad + 2))
+    return tuple((np.clip(lift(b, a), -3, 3) * np.minimum(a / 10, 1)).astype(_F) for a, b in (counts[:2], counts[2:]))
 
 
-def fit(texts: Texts, y: np.ndarray, share: float | None = None, passes: int = 6, rate: float = 0.05, seed: int = 3) -> Network:
+def pick(t: Texts, odds: tuple[np.ndarray, np.ndarray], seed: int) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: the words of the windows to learn from, their begins, sizes and first judgements.
+
+    A text of up to PICKED + CHANCE windows gives all; any other the PICKED worst of all its windows
+    by the log-odds of their words, and CHANCE others.
+    """
+    doc, start, size = windows_of(np.diff(t.first))
+    by_word = np.maximum(odds[0][t.word], _means(odds[1][t.grams], t.begin))
+    first = _window_max(by_word, t, t.first[doc] + start, size)
+    own = np.searchsorted(doc, np.arange(len(t.first)))
+    step = np.arange(WINDOW)
+    for d in range(len(t.first) - 1):
+        w = np.arange(own[d], own[d + 1])
+        if len(w) > PICKED + CHANCE:
+            worst = w[np.argsort(-first[w], kind="stable")]
+            rest = np.random.default_rng((seed, int(t.first[d + 1] - t.first[d]))).permutation(worst[PICKED:])[:CHANCE]
+            w = np.sort(np.concatenate([worst[:PICKED], rest]))
+        at = (t.first[d] + start[w])[:, None] + step
+        words, place = np.unique(t.at[at[step[None] < size[w, None]]], return_inverse=True)
+        many = t.begin[words + 1] - t.begin[words]
+        cuts = np.concatenate([[0], np.cumsum(many)])
+        grams = t.grams[np.repeat(t.begin[words] - cuts[:-1], many) + np.arange(cuts[-1])]
+        yield Texts(t.hash[words], grams, cuts, place, np.array([0, len(place)])), np.cumsum(size[w]) - size[w], size[w], first[w]
+
+
+def lesson(rows: list[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]) -> Lesson:
+    """What ``pick`` gave for each text, one after another; a word that several texts have is one."""
+    cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+    shift = lambda sizes: np.cumsum([0, *sizes[:-1]]) if sizes else []
+    words, grams, ats = [len(r[0].hash) for r in rows], [len(r[0].grams) for r in rows], [len(r[0].at) for r in rows]
+    every = np.concatenate([[0], cat([r[0].begin[1:] + s for r, s in zip(rows, shift(grams))], np.int64)])
+    h, one, place = np.unique(cat([r[0].hash for r in rows], np.uint64), return_index=True, return_inverse=True)
+    many = every[one + 1] - every[one]
+    cuts = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+    own = cat([r[0].grams for r in rows], np.int32)[np.repeat(every[one] - cuts[:-1], many) + np.arange(cuts[-1])]
+    at = place[cat([r[0].at + s for r, s in zip(rows, shift(words))], np.int64)].astype(np.int32)
+    texts = Texts(h, own, cuts, at, np.concatenate([[0], np.cumsum(ats)]).astype(np.int64))
+    return Lesson(texts, cat([r[1] + s for r, s in zip(rows, shift(ats))], np.int64), cat([r[2] for r in rows], np.int64), np.repeat(np.arange(len(rows)), np.array([len(r[2]) for r in rows], np.int64)), cat([r[3] for r in rows], _F))
+
+
+def fit(given: Lesson, y: np.ndarray, odds: tuple[np.ndarray, np.ndarray], passes: int = 6, rate: float = 0.05, seed: int = 3) -> Network:
     """Learn from texts' labels which windows are toxic.
 
     A clean text's windows are all clean.  Of a toxic text, each pass takes its worst windows: in the
     first pass by the log-odds of their words and n-grams (the embeddings' first place starts from
-    these too), later by the network so far.  At the end the slope and shift
-    between a text's worst logit and its label are fitted, for a corpus of which ``share`` is toxic.
+    these too), later by the network so far, asked every other pass.  With one class only the network says that class's share.
     """
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
@@ -267,9 +338,9 @@ def fit(texts: Texts, y: np.ndarray, share: float | None = None, passes: int = 6
         net.slope, net.shift = 0.0, float(np.log((y.sum() + 1) / (n - y.sum() + 1))) if n else 0.0
         return net
     sums = {k: np.full(v.shape, 1e-3, _F) for k, v in net.p.items()}
-    doc, first, size = windows_of(np.diff(texts.first))
-    own = np.searchsorted(doc, np.arange(n + 1))
-    begin = texts.first[doc] + first
+    texts, begin, size = given.texts, given.begin, given.size
+    buckets = texts.word
+    own = np.searchsorted(given.doc, np.arange(n + 1))
     step = np.arange(WINDOW)
 
     def update(k, g, rows=None):
@@ -280,11 +351,11 @@ def fit(texts: Texts, y: np.ndarray, share: float | None = None, passes: int = 6
             sums[k][rows] += g * g
             net.p[k][rows] -= _F(rate) * g / np.sqrt(sums[k][rows])
 
-    odd_words, odd_grams = _odds(texts, y)
-    net.p["word"][:, 0], net.p["gram"][:, 0] = 0.3 * odd_words, 0.6 * odd_grams
-    by_word = np.maximum(odd_words[texts.word], _means(odd_grams[texts.grams], texts.begin))
-    for turn in range(passes):
-        logit = window_logits(net, texts)[3] if turn else _window_max(by_word, texts, begin, size)
+    net.p["word"][:, 0], net.p["gram"][:, 0] = 0.3 * odds[0], 0.6 * odds[1]
+    logit = given.first
+    for turn in range(max(passes, min(8 * passes, 20_000 // n))):  # a small lesson is gone over more often
+        if turn % 2:
+            logit = logits_of(net, texts, begin, size)
         chosen, marks = [], []
         for i in range(n):
             w = np.arange(own[i], own[i + 1])
@@ -304,11 +375,11 @@ def fit(texts: Texts, y: np.ndarray, share: float | None = None, passes: int = 6
             place = texts.at[np.minimum(begin[rows, None] + step[:steps], len(texts.at) - 1)] if len(texts.at) else np.zeros((len(rows), steps), np.int64)
             used, at = np.unique(place, return_inverse=True)
             at = at.reshape(place.shape)
-            count = texts.begin[used + 1] - texts.begin[used] if len(texts.word) else np.zeros(1, np.int64)
+            count = texts.begin[used + 1] - texts.begin[used] if len(buckets) else np.zeros(1, np.int64)
             cuts = np.concatenate([[0], np.cumsum(count)])
-            g_at = np.repeat(texts.begin[used] - cuts[:-1], count) + np.arange(cuts[-1]) if len(texts.word) else np.zeros(0, np.int64)
+            g_at = np.repeat(texts.begin[used] - cuts[:-1], count) + np.arange(cuts[-1]) if len(buckets) else np.zeros(0, np.int64)
             grams = texts.grams[g_at]
-            word = texts.word[used] if len(texts.word) else np.zeros(1, np.int64)
+            word = buckets[used] if len(buckets) else np.zeros(1, np.int64)
             keep = (rng.random(len(used)) > 0.4).astype(_F)
             x = net.inputs(word, grams, cuts, keep)
             z, held = net.run(x, at, mask, hold=True)
@@ -322,30 +393,14 @@ def fit(texts: Texts, y: np.ndarray, share: float | None = None, passes: int = 6
                     run = i[o]
                     f = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
                     update(k, np.add.reduceat(v[o], f).astype(_F), run[f])
-    logit = window_logits(net, texts)[3]
-    worst = np.maximum.reduceat(logit, own[:-1]).astype(float)
-    odds = 1.0 if share is None else (1 - share) / share * y.sum() / (n - y.sum())
-    net.slope, net.shift = _line(worst, y, np.where(y > 0, 1.0, odds))
     return net
 
 
-def _odds(t: Texts, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of toxic texts for each word and n-gram bucket, by how many texts have it."""
-    n = len(y)
-    bad = [np.zeros(1 << WORD_BITS), np.zeros(1 << GRAM_BITS)]
-    all_ = [np.zeros(1 << WORD_BITS), np.zeros(1 << GRAM_BITS)]
-    for i in range(n):
-        own = np.unique(t.at[t.first[i] : t.first[i + 1]])
-        if not len(own):
-            continue
-        many = t.begin[own + 1] - t.begin[own]
-        at = np.repeat(t.begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        for k, what in enumerate((t.word[own], t.grams[at])):
-            seen = np.unique(what)
-            all_[k][seen] += 1
-            bad[k][seen] += y[i]
-    lift = lambda b, a: np.log((b + 1) / (y.sum() + 2)) - np.log((a - b + 1) / (n - y.sum() + 2))
-    return tuple((np.clip(lift(b, a), -3, 3) * np.minimum(a / 10, 1)).astype(_F) for b, a in zip(bad, all_))
+def calibrate(net: Network, worst: np.ndarray, y: np.ndarray, share: float) -> None:
+    """Fit slope and shift between a text's worst logit and its label, for a corpus of which ``share`` is toxic."""
+    if 0 < y.sum() < len(y):
+        odds = (1 - share) / share * y.sum() / (len(y) - y.sum())
+        net.slope, net.shift = _line(worst, y, np.where(y > 0, 1.0, odds))
 
 
 def _means(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -379,18 +434,70 @@ def _line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 # ---- on tables
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, each: tuple[int, int] = EACH, key: str = "doc_id", text: str = "text", most_bytes: int = 1 << 20) -> Network:
+def train(docs: DataFrame, labels: DataFrame, learn, each: tuple[int, int] = EACH, key: str = "doc_id", text: str = "text", seed: int = 3) -> Network:
     """Train on the labelled rows of ``docs`` with ``learn``: at most ``each`` toxic and other ones.
 
-    Texts of more than ``most_bytes`` are not among them (scoring knows no such bound).  With one
-    class only, every text gets that class's share as its score.
+    Labels of other rows are never looked at, not even to count classes.  Executors read whole texts
+    of any length; the driver gets at most PICKED + CHANCE windows of a text.  Rows with a null key or
+    label teach nothing, and repeated rows count once.  With one class only, every text gets that
+    class's share as its score; without labelled rows a half.
     """
-    chosen = docs.where(learn).where(F.coalesce(F.octet_length(docs[text]), F.lit(0)) <= most_bytes)
-    got = sorted((r.text, r.y) for r in labelled(chosen, labels, "toxic", each[::-1], key, text).collect())  # at most sum(each) rows
-    y = np.array([r[1] for r in got], float)
-    told = {r[0]: r[1] for r in labels.where(F.col("toxic").isNotNull()).groupBy(F.col("toxic").cast("int")).count().collect()}  # two rows
-    share = told.get(1, 0) / max(1, told.get(0, 0) + told.get(1, 0))
-    return fit(prepare_all([t for t, _ in got]), y, share or None)
+    import pyarrow as pa
+
+    chosen = docs.where(learn)
+    keys = learnable(chosen, labels, "toxic", key)
+    told = shares(keys)
+    rows = stored(labelled(chosen, keys, each[::-1], key, text).repartition(TASKS, "text").sortWithinPartitions("text", "y"), "labelled")
+
+    def each_block(batches):
+        for b in batches:
+            y = b.column(1).to_numpy(zero_copy_only=False)
+            for w in textscan.scan(b.column(0), textscan.MARKS):
+                yield prepare(w), y[w.lo : w.hi]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, bad, n = None, 0, 0
+        for t, y in each_block(batches):
+            own = counted(t, y)
+            total = own if total is None else [a + b for a, b in zip(total, own)]
+            bad, n = bad + int(y.sum()), n + len(y)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([bad], pa.int64()), pa.array([n], pa.int64()), pa.array([np.concatenate(total).tobytes()], pa.binary())], names=["bad", "n", "counts"])
+
+    sums = rows.select("text", "y").mapInArrow(count, "bad long, n long, counts binary").collect()  # a row of 256 kB from each of TASKS tasks
+    if not sums:
+        return fit(lesson([]), np.zeros(0), ())
+    counts = np.split(sum(np.frombuffer(r.counts, np.int32).astype(np.int64) for r in sums), np.cumsum([1 << WORD_BITS, 1 << WORD_BITS, 1 << GRAM_BITS]))
+    odds = log_odds(counts, sum(r.bad for r in sums), sum(r.n for r in sums))
+    told_odds = docs.sparkSession.sparkContext.broadcast(odds)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda xs, t: pa.array([np.ascontiguousarray(x, t).tobytes() for x in xs], pa.binary())
+        for t, y in each_block(batches):
+            got = list(pick(t, told_odds.value, seed))
+            words, grams, begins, ats = ([getattr(g[0], a) for g in got] for a in ("hash", "grams", "begin", "at"))
+            cols = [pa.array(y.astype(np.int32)), pack(words, np.uint64), pack(grams, np.uint16), pack(begins, np.int32), pack(ats, np.int16), pack([g[2] for g in got], np.uint8), pack([g[3] for g in got], np.float32)]
+            yield pa.RecordBatch.from_arrays(cols, names=["y", "hash", "grams", "begin", "at", "size", "first"])
+
+    got = rows.select("text", "y").mapInArrow(choose, "y int, hash binary, grams binary, begin binary, at binary, size binary, first binary").collect()  # at most sum(each) rows of some tens of kB
+    got.sort(key=lambda r: tuple(map(bytes, r[1:])) + (r.y,))  # the same order on every run
+    wide = lambda x, t: np.frombuffer(x, t).astype(np.int64)
+    picked = []
+    for r in got:
+        at, size = wide(r.at, np.int16), wide(r.size, np.uint8)
+        picked.append((Texts(np.frombuffer(r.hash, np.uint64), wide(r.grams, np.uint16), wide(r.begin, np.int32), at, np.array([0, len(at)])), np.cumsum(size) - size, size, np.frombuffer(r.first, np.float32)))
+    y = np.array([r.y for r in got], float)
+    net = fit(lesson(picked), y, odds, seed=seed)
+    if 0 < y.sum() < len(y):
+        told_net = docs.sparkSession.sparkContext.broadcast(net)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, y in each_block(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(worst_windows(told_net.value, t)[0].astype(float))], names=["y", "worst"])
+
+        ends = sorted((r.worst, r.y) for r in rows.select("text", "y").mapInArrow(judge, "y int, worst double").collect())  # at most sum(each) pairs of numbers
+        calibrate(net, np.array([e[0] for e in ends]), np.array([e[1] for e in ends], float), told[1] / (told[0] + told[1]))
+    return net
 
 
 def score(docs: DataFrame, net: Network, keep: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -413,13 +520,8 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, key: str
         for b in batches:
             best, where, many = [], [], []
             for w in textscan.scan(b.column(0), textscan.MARKS):
-                doc, first, _, logit = window_logits(own, prepare(w))
-                begin = np.searchsorted(doc, np.arange(w.hi - w.lo))
-                top = np.maximum.reduceat(logit, begin)
-                at = np.flatnonzero(logit == top[doc])
-                best.append(top)
-                where.append(first[at[np.searchsorted(doc[at], np.arange(w.hi - w.lo))]])
-                many.append(np.bincount(doc, minlength=w.hi - w.lo))
+                for held, x in zip((best, where, many), worst_windows(own, prepare(w))):
+                    held.append(x)
             cat = lambda x: np.concatenate(x) if x else np.zeros(0)
             p = own.probability(cat(best))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(cat(many).astype(np.int64)), pa.array(cat(where).astype(np.int64))], names=[*names, "score", "predicted", "windows", "worst"])
