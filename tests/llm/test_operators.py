@@ -107,6 +107,38 @@ def test_n_best_is_brute_force(lattice, word):
     assert gap[0] == (want[0][2] - want[1][2] if len(want) > 1 else -1)
 
 
+def test_one_order_for_parts_of_any_length(lattice):
+    """The search of long parts gives what the other gives, ties and all."""
+    rnd = random.Random(3)
+    for _ in range(600):
+        letters = rnd.choice(["ab", "the ion", "  x", "éa日", "0123", "aaaaaaab", " \n="])
+        part = nbest.part_form("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))))
+        for n in (1, 4, 9):
+            assert lattice._n_best_long(part, n) == lattice.n_best(part, n)
+
+
+def test_a_million_blanks_and_many_runs_of_them(lattice):
+    s = nbest.Segmenter(queries.vocabulary(), 4)
+    blank = min(v for p, i in lattice.ids.items() if not p.strip(" ") for v in [int(lattice.value[i])])
+    for text in (" " * 1_000_000, "a  b " * 9_000):
+        (found,) = s.segment([text])
+        assert len(found) == 4 and all(lattice.decode(i) == text for _, i in found)
+        assert all(sum(int(lattice.value[k]) for k in np.frombuffer(i, "<u2").tolist()) == v for v, i in found) and blank < 0
+    assert found[0][0] < -8_000 * 10**9 * nbest.STEP
+
+
+def test_a_small_cache_changes_nothing(monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("theino") for _ in range(rnd.randint(1, 6))) for _ in range(40)) for _ in range(300)] + ["y" * 3_000, "é" * 500]
+    want = nbest.Segmenter(queries.vocabulary(), 4).segment(texts)
+    monkeypatch.setattr(nbest, "CACHE", 60)
+    monkeypatch.setattr(nbest, "CACHE_BYTES", 2_000)
+    s = nbest.Segmenter(queries.vocabulary(), 4)
+    assert [x for t in texts for x in s.segment([t])] == want
+    assert len(s.at) <= 60 and s.held <= 2_000
+    assert [(0, 2), (2, 3), (3, 4)] == list(nbest.blocks(np.array([1, 1, 5 << 20, 2]))) and list(nbest.blocks(np.zeros(0, np.int64))) == []
+
+
 def test_whole_texts_are_brute_force(lattice):
     s = nbest.Segmenter(queries.vocabulary(), 4)
     rnd = random.Random(5)

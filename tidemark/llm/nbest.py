@@ -30,10 +30,64 @@ STEP = 1 << 20
 UNKNOWN = 10
 #: Parts up to so many characters are solved together with numpy.
 TOGETHER = 48
-CACHE = 300_000
+#: Parts, and bytes of them and their ids, that a worker's cache holds.
+CACHE, CACHE_BYTES = 300_000, 64 << 20
+#: Texts, and characters of them, that are segmented together; a longer text is alone.
+BLOCK, BLOCK_CHARS = 512, 4 << 20
+#: Characters of a part whose edges are kept while it's searched; a longer one's are looked up again.
+SPREAD = 1 << 16
 _NEVER = -(1 << 61)
 
 
+#: Links of long parts' hypotheses: (the one before, step, depth, a far one before).  A step is minus a piece's length.
+_ROOT = (None, 0, 0, None)
+
+
+def _link(before: tuple, step: int) -> tuple:
+    far = before[3]
+    # skip lists of doubling reach: two jumps of one length become one
+    return (before, step, before[2] + 1, far[3] if far is not None and far[3] is not None and before[2] - far[2] == far[2] - far[3][2] else before)
+
+
+def _steps(link: tuple) -> list[int]:
+    out = []
+    while link[0] is not None:
+        out.append(link[1])
+        link = link[0]
+    return out[::-1]
+
+
+class _Place:
+    """A link's place in the order of steps from the end, the longer piece first."""
+
+    __slots__ = ("link",)
+
+    def __init__(self, link: tuple):
+        self.link = link
+
+    def __lt__(self, other: _Place) -> bool:
+        a, b = self.link, other.link
+        if a is b:
+            return False
+        depth = min(a[2], b[2])
+        over = a[2] - b[2]
+        a, b = _up(a, depth), _up(b, depth)
+        if a is b:  # one goes on from the other
+            return over < 0
+        while a[0] is not b[0]:
+            if a[3] is not b[3]:
+                a, b = a[3], b[3]
+            else:
+                a, b = a[0], b[0]
+        return a[1] < b[1]
+
+
+def _up(link: tuple, depth: int) -> tuple:
+    while link[2] > depth:
+        link = link[3] if link[3] is not None and link[3][2] >= depth else link[0]
+    return link
+
+
 class Lattice:
     """Pieces of a vocabulary file, their scores, and segmentation by them."""
 
@@ -143,30 +197,47 @@ class Lattice:
         return out
 
     def _n_best_long(self, part: str, n: int) -> list[tuple[int, bytes]]:
-        """The same search in memory that grows with the part: hypotheses are chains, a place is gone
-        on from n times at most, and equals are taken last in, first out, the longest piece last in."""
+        """The same search, in the same order, in memory that grows with the part.
+
+        A hypothesis is a link to the one it goes on from.  Hypotheses of one value are taken
+        together: those left from better ones are put in order by where they part, and each is followed
+        down, the longest piece first, before the next one's turn.  A place is gone on from n times at
+        most, as n better ways through it are known by then.
+        """
+        edges = [[]] + [self.edges_to(part, j) for j in range(1, len(part) + 1)] if len(part) <= SPREAD else None
+        to = edges.__getitem__ if edges else lambda j: self.edges_to(part, j)
         ahead = [0] * (len(part) + 1)  # Python integers: a long part's value has no bound
         for j in range(1, len(part) + 1):
-            ahead[j] = max(ahead[i] + v for i, v, _ in self.edges_to(part, j))
+            ahead[j] = max(ahead[i] + v for i, v, _ in to(j))
         visits = [0] * (len(part) + 1)
         end, turn = len(part), 0
-        heap: list = [(-ahead[end], 0, end, 0, None)]
+        heap: list = [(-ahead[end], 0, end, 0, _ROOT)]
         out: list = []
         while heap and len(out) < n:
-            _, _, at, passed, chain = heapq.heappop(heap)
-            if not at:
-                lens = []
-                while chain:
-                    chain, step = chain
-                    lens.append(step)
-                out.append((passed, self._ids_of(part, lens[::-1])))
-                continue
-            if visits[at] >= n:
-                continue
-            visits[at] += 1
-            for i, v, _ in reversed(self.edges_to(part, at)):
-                turn -= 1
-                heapq.heappush(heap, (-(ahead[i] + v + passed), turn, i, v + passed, (chain, i - at)))
+            level, same = heap[0][0], []
+            while heap and heap[0][0] == level:
+                _, _, at, passed, link = heapq.heappop(heap)
+                if visits[at] < n:
+                    same.append((_Place(link), at, passed, link))
+            heapq.heapify(same)
+            while same and len(out) < n:
+                _, at, passed, link = heapq.heappop(same)
+                todo = [(at, passed, link)]
+                while todo and len(out) < n:
+                    at, passed, link = todo.pop()
+                    if not at:
+                        out.append((passed, self._ids_of(part, _steps(link))))
+                        continue
+                    if visits[at] >= n:
+                        continue
+                    visits[at] += 1
+                    for i, v, _ in reversed(to(at)):
+                        cost = -(ahead[i] + v + passed)
+                        if cost == level:
+                            todo.append((i, v + passed, _link(link, i - at)))
+                        else:
+                            turn += 1
+                            heapq.heappush(heap, (cost, turn, i, v + passed, _link(link, i - at)))
         return out
 
     def _ids_of(self, part: str, lens: tuple) -> bytes:
@@ -257,7 +328,8 @@ class Lattice:
         whose, ends, ids = whose[order], ends[order], ids[order]
         stop = 2 * np.cumsum(np.bincount(whose, minlength=n))
         joined = ids.astype("<u2").tobytes()
-        out = [joined[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        ends_at = stop.tolist()
+        out = [joined[i:j] for i, j in zip([0, *ends_at[:-1]], ends_at)]
         for w in np.unique(whose[ids < 0]).tolist():
             own: list[int] = []
             for j, i in zip(ends[whose == w].tolist(), ids[whose == w].tolist()):
@@ -270,9 +342,12 @@ class Lattice:
     def score(self, value: int, count: int) -> float:
         return (value + count) // STEP * self.unit
 
+    def text_of(self, ids: bytes) -> str:
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode("utf-8", "surrogatepass")
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: their bytes, without the blank ahead."""
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode("utf-8", "surrogatepass")[1:]
+        return self.text_of(ids)[1:]
 
 
 def part_form(part: str) -> str:
@@ -281,7 +356,7 @@ def part_form(part: str) -> str:
 
 
 class Segmenter:
-    """N-best segmentations of whole texts, with a bounded cache of parts."""
+    """N-best segmentations of whole texts, with a bounded cache of parts: the least used half goes when it's full."""
 
     def __init__(self, path: str, n: int):
         self.lattice, self.n = Lattice(path), n
@@ -290,31 +365,46 @@ class Segmenter:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.total, self.gap = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # scores without STEP
+        self.held = 0
+        # scores without STEP, how far the second best is below, bytes of ids, texts that had the part
+        self.total, self.gap, self.size, self.hits = (np.zeros(1024, np.int64) for _ in range(4))
         self.more: dict[str, list[tuple[int, bytes]]] = {}
+        self.more_held = 0
 
     def learn(self, parts: list[str]) -> None:
         """Solve parts that the cache doesn't hold."""
         ids, value, gap = self.lattice.best_of([part_form(p) for p in parts])
-        at = len(self.ids)
-        while at + len(parts) > len(self.total):
-            self.total, self.gap = np.concatenate([self.total, self.total]), np.concatenate([self.gap, self.gap])
-        self.total[at : at + len(parts)] = [(v + len(i) // 2) // STEP for v, i in zip(value, ids)]
-        self.gap[at : at + len(parts)] = gap
+        at, upto = len(self.ids), len(self.ids) + len(parts)
+        if upto > len(self.total):
+            self.total, self.gap, self.size, self.hits = (np.concatenate([x, np.zeros(upto, np.int64)]) for x in (self.total, self.gap, self.size, self.hits))
+        self.total[at:upto] = [(v + len(i) // 2) // STEP for v, i in zip(value, ids)]
+        self.gap[at:upto] = gap
+        self.size[at:upto] = list(map(len, ids))
+        self.hits[at:upto] = 0
         self.ids += ids
-        self.at.update(zip(parts, range(at, at + len(parts))))
+        self.at.update(zip(parts, range(at, upto)))
+        self.held += sum(map(len, parts)) + sum(map(len, ids))
+
+    def trim(self) -> None:
+        """Keep the most used parts, up to half of either bound."""
+        names = list(self.at)  # in the order of their numbers
+        order = np.argsort(-self.hits[: len(names)], kind="stable")[: CACHE // 2]
+        held = np.cumsum([len(names[i]) + len(self.ids[i]) for i in order.tolist()])
+        order = np.sort(order[held <= CACHE_BYTES // 2])
+        self.at = {names[i]: k for k, i in enumerate(order.tolist())}
+        self.ids = [self.ids[i] for i in order.tolist()]
+        self.total, self.gap, self.size, self.hits = (x[order] for x in (self.total, self.gap, self.size, self.hits // 2))
+        self.held = sum(map(len, self.at)) + sum(map(len, self.ids))
 
     def segment(self, texts: list[str]) -> list[list[tuple[int, bytes]]]:
         """Of each text: up to n (value, ids), best first."""
         split = [self.split(t) for t in texts]
-        different = set().union(*split)
-        new = [p for p in different if p not in self.at]
-        if len(self.at) + len(new) > CACHE:
-            self.clear()
-            new = list(different)
-        if new:
+        if new := [p for p in set().union(*split) if p not in self.at]:
             self.learn(new)
-        return [self._whole(parts) for parts in split]
+        out = [self._whole(parts) for parts in split]
+        if len(self.at) > CACHE or self.held > CACHE_BYTES:
+            self.trim()
+        return out
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -327,8 +417,8 @@ class Segmenter:
         if not parts:
             return [(0, b"")]
         at = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
-        pieces = [self.ids[i] for i in at.tolist()]
-        joined = b"".join(pieces)
+        self.hits[at] += 1
+        joined = b"".join(map(self.ids.__getitem__, at.tolist()))
         # scores and numbers of pieces are summed apart: a text's value may be beyond 64 bits
         total = int(self.total[at].sum()) * STEP - len(joined) // 2
         out = [(total, joined)]
@@ -342,16 +432,20 @@ class Segmenter:
             open_ = open_[g <= np.partition(g, self.n - 2)[self.n - 2]]
         open_ = open_[np.lexsort((-open_, gap[open_]))][: self.n - 1]
         spots = sorted(open_.tolist())
+        ends = np.cumsum(self.size[at])[spots].tolist()
+        begins = [e - len(self.ids[at[s]]) for s, e in zip(spots, ends)]
         options = [self._more(parts[s]) for s in spots]
         loss = [[o[0][0] - v for v, _ in o] for o in options]
         heap, seen = [(0, (), (0,) * len(spots))], {(0,) * len(spots)}
         while heap and len(out) <= self.n:
             lost, _, choice = heapq.heappop(heap)
             if any(choice):
-                copy = list(pieces)
-                for s, o, c in zip(spots, options, choice):
-                    copy[s] = o[c][1]
-                out.append((total - lost, b"".join(copy)))
+                changed, upto = [], 0
+                for k, c in enumerate(choice):
+                    if c:
+                        changed += [joined[upto : begins[k]], options[k][c][1]]
+                        upto = ends[k]
+                out.append((total - lost, b"".join([*changed, joined[upto:]])))
                 if len(out) == self.n:
                     break
             for k in range(len(spots)):
@@ -364,11 +458,17 @@ class Segmenter:
         return out
 
     def _more(self, part: str) -> list[tuple[int, bytes]]:
-        if part not in self.more:
-            if len(self.more) > CACHE // 4:
+        found = self.more.get(part)
+        if found is None:
+            if len(self.more) > CACHE // 4 or self.more_held > CACHE_BYTES // 4:
                 self.more.clear()
-            self.more[part] = self.lattice.n_best(part_form(part), self.n)
-        return self.more[part]
+                self.more_held = 0
+            form = part_form(part)
+            found = self.more[part] = self.lattice.n_best(form, self.n)
+            if any(self.lattice.text_of(i) != form for _, i in found):
+                raise ValueError("a segmentation doesn't give its part back")
+            self.more_held += len(part) + sum(len(i) for _, i in found)
+        return found
 
 
 _segmenters: dict[tuple[str, int], Segmenter] = {}
@@ -381,6 +481,17 @@ def segmenter(path: str, n: int) -> Segmenter:
     return _segmenters[path, n]
 
 
+def blocks(chars: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most BLOCK texts and BLOCK_CHARS characters, or of one longer text."""
+    upto, lo = np.cumsum(chars, dtype=np.int64), 0
+    while lo < len(chars):
+        before = int(upto[lo - 1]) if lo else 0
+        hi = int(np.searchsorted(upto, before + BLOCK_CHARS, "right"))
+        hi = max(lo + 1, min(hi, lo + BLOCK, len(chars)))
+        yield lo, hi
+        lo = hi
+
+
 def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The ``n`` best segmentations of every whole text.
 
@@ -389,9 +500,12 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str =
     ``lengths`` (pieces), ``digests`` (XXH64 of the ids as little-endian 16-bit numbers, 16 hex
     digits), ``segmentations`` (the ids, if ``ids``), and ``round_trip``: whether every segmentation
     decodes to the text.  Null counts as empty, which has one segmentation of no piece; a text has
-    fewer than ``n`` where it has no more; rows may repeat; other columns are ignored.
+    fewer than ``n`` where it has no more; rows may repeat, a null key is passed on; an empty table
+    gives no rows; other columns are ignored.  Texts may have any length: a worker holds a block of
+    them, the lattice of its longest part and its bounded cache.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     import xxhash
 
     kind = docs.schema[key].dataType.simpleString()
@@ -401,17 +515,18 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str =
         claim("nbest", _segmenters.clear)
         own = segmenter(path, n)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                texts = b.column(1).slice(lo, 512).to_pylist()
+            for lo, hi in blocks(pc.utf8_length(b.column(1)).to_numpy()):
+                texts = b.column(1).slice(lo, hi - lo).to_pylist()
                 scores, lengths, digests, trips, all_ids = [], [], [], [], []
                 for t, found in zip(texts, own.segment(texts)):
                     lengths.append([len(i) // 2 for _, i in found])
                     scores.append([own.lattice.score(v, m) for (v, _), m in zip(found, lengths[-1])])
                     digests.append([xxhash.xxh64_hexdigest(i) for _, i in found])
-                    trips.append(all(own.lattice.decode(i) == t for _, i in found[:1]) and all(_same(own.lattice, found[0][1], i) for _, i in found[1:]))
+                    # the others differ from the first in parts whose segmentations were seen to give the part back
+                    trips.append(own.lattice.decode(found[0][1]) == t)
                     if ids:
                         all_ids.append([np.frombuffer(i, "<u2").astype(np.int32) for _, i in found])
-                cols = [b.column(0).slice(lo, 512), pa.array(scores, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.string())), pa.array(trips, pa.bool_())]
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(scores, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.string())), pa.array(trips, pa.bool_())]
                 names = [key, "scores", "lengths", "digests", "round_trip"]
                 if ids:
                     cols.append(pa.array([[x.tolist() for x in row] for row in all_ids], pa.list_(pa.list_(pa.int32()))))
@@ -421,19 +536,6 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str =
     return docs.select(docs[key], text_column(docs, text).alias("text")).mapInArrow(run, f"`{key}` {kind}, scores array<double>, lengths array<int>, digests array<string>, round_trip boolean{more}")
 
 
-def _same(lattice: Lattice, a: bytes, b: bytes) -> bool:
-    """Whether two id sequences decode alike, looking only at where they differ."""
-    n, m = len(a) // 2, len(b) // 2
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    k = min(n, m)
-    diff = np.flatnonzero(x[:k] != y[:k])
-    lo = int(diff[0]) if len(diff) else k
-    tail = np.flatnonzero(x[n - k :][::-1] != y[m - k :][::-1])
-    hi = min(int(tail[0]) if len(tail) else k, k - lo)
-    join = lambda z: b"".join(map(lattice.raw.__getitem__, z.tolist()))
-    return join(x[lo : n - hi]) == join(y[lo : m - hi])
-
-
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``rows`` with ``out``: the text of an array of ids.  Null ids give null; no ids the empty text."""
     import pandas as pd
