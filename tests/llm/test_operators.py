@@ -74,6 +74,26 @@ def test_words(rows, separators, pattern, most):
     assert textscan.hash_words(list(seen)).tolist() == list(seen.values())
 
 
+def test_words_longer_than_a_chunk(monkeypatch):
+    text = b"ab " + b"x" * 5_000 + b" cd " + b"yz" * 700
+    want = textscan.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), textscan.BLANKS).hash.tolist()
+    for chunk in (1, 7, 512, 1_400, 5_000):
+        monkeypatch.setattr(textscan, "CHUNK", chunk)
+        assert textscan.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), textscan.BLANKS).hash.tolist() == want
+
+
+def test_one_long_text_takes_bounded_memory():
+    """50 MB in one text: some bytes a byte, not dozens."""
+    import tracemalloc
+
+    raw = np.frombuffer(b"some words of a very long text " * (50_000_000 // 31), np.uint8)
+    tracemalloc.start()
+    w = textscan.words(raw, np.array([0, len(raw)]), textscan.BLANKS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.hash) == 7 * (50_000_000 // 31) and peak < 16 * len(raw)
+
+
 # ---- 1: segmentation
 
 
@@ -136,7 +156,7 @@ def test_a_small_cache_changes_nothing(monkeypatch):
     s = nbest.Segmenter(queries.vocabulary(), 4)
     assert [x for t in texts for x in s.segment([t])] == want
     assert len(s.at) <= 60 and s.held <= 2_000
-    assert [(0, 2), (2, 3), (3, 4)] == list(nbest.blocks(np.array([1, 1, 5 << 20, 2]))) and list(nbest.blocks(np.zeros(0, np.int64))) == []
+    assert [(0, 2), (2, 3), (3, 4)] == list(token_count.blocks([1, 1, 5 << 20, 2])) and list(token_count.blocks([])) == []
 
 
 def test_whole_texts_are_brute_force(lattice):
@@ -333,6 +353,21 @@ def test_token_counts(docs, rows, empty, name):
     assert token_count.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_of_long_unspaced_lines(spark, monkeypatch):
+    """Pre-tokens of a megabyte go through caches that are bounded in characters."""
+    monkeypatch.setattr(token_count, "CACHE_CHARS", 1_000)
+    path = queries.vocabulary()
+    texts = ["x" * 1_000_000, ("ab" * 50_000 + "\n") * 3, "日本" * 100_000, "a b c"] * 2
+    want = token_count.tokenizer(path).whole(texts)
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in token_count.count_tokens(df, path).collect()) == sorted(want)
+    held = token_count.Cache()
+    held.add(["x" * 2_000], [3])
+    held.trim()
+    assert not held and held.chars == 0
+    assert all(len(w) <= token_count.ENTRY for w in token_count.frequent_pre_tokens(df, path))
+
+
 # ---- 6: near-duplicates
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import claim, text_column
-from tidemark.llm.token_count import pre_tokens
+from tidemark.llm.token_count import blocks, pre_tokens
 
 #: A vocabulary file's mark of a blank.  The lattice has blanks themselves, so the mark in a text is a character like any other.
 MARK = "▁"
@@ -32,8 +32,6 @@ UNKNOWN = 10
 TOGETHER = 48
 #: Parts, and bytes of them and their ids, that a worker's cache holds.
 CACHE, CACHE_BYTES = 300_000, 64 << 20
-#: Texts, and characters of them, that are segmented together; a longer text is alone.
-BLOCK, BLOCK_CHARS = 512, 4 << 20
 #: Characters of a part whose edges are kept while it's searched; a longer one's are looked up again.
 SPREAD = 1 << 16
 _NEVER = -(1 << 61)
@@ -481,17 +479,6 @@ def segmenter(path: str, n: int) -> Segmenter:
     return _segmenters[path, n]
 
 
-def blocks(chars: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most BLOCK texts and BLOCK_CHARS characters, or of one longer text."""
-    upto, lo = np.cumsum(chars, dtype=np.int64), 0
-    while lo < len(chars):
-        before = int(upto[lo - 1]) if lo else 0
-        hi = int(np.searchsorted(upto, before + BLOCK_CHARS, "right"))
-        hi = max(lo + 1, min(hi, lo + BLOCK, len(chars)))
-        yield lo, hi
-        lo = hi
-
-
 def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The ``n`` best segmentations of every whole text.
 
@@ -515,7 +502,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str =
         claim("nbest", _segmenters.clear)
         own = segmenter(path, n)
         for b in batches:
-            for lo, hi in blocks(pc.utf8_length(b.column(1)).to_numpy()):
+            for lo, hi in blocks(pc.utf8_length(b.column(1)).to_pylist()):
                 texts = b.column(1).slice(lo, hi - lo).to_pylist()
                 scores, lengths, digests, trips, all_ids = [], [], [], [], []
                 for t, found in zip(texts, own.segment(texts)):

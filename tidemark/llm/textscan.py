@@ -3,6 +3,10 @@
 A word is a longest run of bytes that are no separators; ASCII letters count as lower case.  A
 word's 64-bit hash is a sum over its bytes of a random number for the byte times a power for its
 place, mixed with its length, so it doesn't depend on where the word stands.
+
+What is held for a text beside its bytes is 5 bytes a byte of marks and lower-cased copies, 24 for
+each word, and a bounded block of hashing; the batch is looked at ``CHUNK`` bytes at a time, or one
+longer text alone.
 """
 
 from __future__ import annotations
@@ -122,18 +126,38 @@ def words(raw: np.ndarray, off: np.ndarray, separators: np.ndarray, lo: int = 0,
     inside = ~apart
     start = np.flatnonzero(inside & before)
     end = np.flatnonzero(inside & after) + 1
-    size = end - start
-    spots = np.flatnonzero(inside)
-    begin = np.cumsum(size) - size
-    place = np.arange(len(spots)) - np.repeat(begin, size)
-    part = _TABLE[data[spots]] * powers(int(size.max()) + 1 if len(size) else 1)[place]
-    total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(part, out=total[1:])
-    h = total[begin + size] - total[begin]
-    h = mix(h + size.astype(np.uint64) * _U(0xA24BAED4963EE407))
+    h = _hashes(data, start, end)
     return Words(lo, hi, data, start, end, h, np.searchsorted(start, off, "left"))
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The words' hashes, ``CHUNK`` bytes of words at a time: what is held grows with the words, not their bytes."""
+    total = np.zeros(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = int(np.searchsorted(end, start[lo] + CHUNK, "right"))
+        if hi <= lo:  # one word of more than a chunk
+            factor = _U(1)
+            for at in range(int(start[lo]), int(end[lo]), CHUNK):
+                own = data[at : min(at + CHUNK, int(end[lo]))]
+                with np.errstate(over="ignore"):
+                    total[lo] += factor * (_TABLE[own] * powers(CHUNK + 1)[: len(own)]).sum(dtype=np.uint64)
+                    factor *= powers(CHUNK + 1)[CHUNK]
+            hi = lo + 1
+            total[lo:hi] = mix(total[lo:hi] + (end[lo:hi] - start[lo:hi]).astype(np.uint64) * _U(0xA24BAED4963EE407))
+            lo = hi
+            continue
+        n = end[lo:hi] - start[lo:hi]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(begin, n)
+        part = _TABLE[data[place + np.repeat(start[lo:hi], n)]] * powers(int(n.max()) + 1)[place]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        total[lo:hi] = mix(sums[begin + n] - sums[begin] + n.astype(np.uint64) * _U(0xA24BAED4963EE407))
+        lo = hi
+    return total
+
+
 def hash_words(items: list[bytes]) -> np.ndarray:
     """The hashes of given words, each a bytes value without separators; "" gives 0."""
     out = np.zeros(len(items), np.uint64)
