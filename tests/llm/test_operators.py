@@ -681,10 +681,29 @@ def test_decontamination(spark, rows, docs, empty, monkeypatch):
     assert got(decontaminate.decontaminate(own, benchmark.where("false")), "doc_id", "n_hit", "items") == sorted(((i, 0, []) for i, _ in rows + more), key=repr)
     spans = next(r for r in out.collect() if r.doc_id == 100)
     assert sorted((s.first, s.size) for s in spans.spans)[0] == (1, 10)
-    monkeypatch.setattr(decontaminate, "PASS_WORDS", 150)  # several passes
-    unique = own.dropDuplicates(["doc_id"])
-    several = got(decontaminate.decontaminate(unique, benchmark), "doc_id", "n_words", "n_hit", "items")
-    assert several == sorted({repr(w): w for w in want}.values(), key=repr)
+    monkeypatch.setattr(decontaminate, "FILE_WORDS", 150)  # several files of phrases
+    assert got(decontaminate.decontaminate(own, benchmark), "doc_id", "n_words", "n_hit", "items", "n_near", "spans") == got(out, "doc_id", "n_words", "n_hit", "items", "n_near", "spans")
+
+
+def test_one_index_serves_any_benchmark_and_segments_change_nothing(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randrange(25)}" for _ in range(rnd.randint(0, 200)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = spark.createDataFrame([(k, " ".join(f"w{rnd.randrange(25)}" for _ in range(4))) for k in range(30)] + [(None, "w1"), (9, None)], "item_id long, text string")
+    second = spark.createDataFrame([(k, " ".join(rows[k][1].split()[5:20])) for k in range(40)], "item_id long, text string")
+    columns = ("doc_id", "n_words", "n_hit", "items", "n_near", "spans")
+    segments = decontaminate.build_index(docs).cache()
+    found = [got(decontaminate.search(segments, decontaminate.store_phrases(b)), *columns) for b in (first, second)]
+    for b, f in zip((first, second), found):
+        items = [("" if r.item_id is None else r.item_id, r.text) for r in b.collect()]
+        assert [x[:4] for x in f] == sorted(((i, *plain_hits(t, items)) for i, t in rows), key=repr)
+        for i, _, _, _, near, _ in f:
+            words = dict(rows)[i].split()
+            held = [set(words[k : k + decontaminate.NEAR]) for k in range(len(words))]
+            windows = [(n, set(w[k : k + 10])) for n, t in items for w in [(t or "").split()] for k in range(max(1, len(w) - 9)) if w]
+            assert near == len({n for n, w in windows if any(w <= h for h in held)})
+    monkeypatch.setattr(decontaminate, "SEGMENT_ROWS", 3)
+    assert got(decontaminate.decontaminate(docs, first), *columns) == found[0]
 
 
 def test_passes_return_every_row(spark, monkeypatch):
@@ -695,8 +714,8 @@ def test_passes_return_every_row(spark, monkeypatch):
     want = sorted(((i, *plain_hits(t, items)) for i, t in rows), key=repr)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for most in (decontaminate.PASS_WORDS, 150):
-        monkeypatch.setattr(decontaminate, "PASS_WORDS", most)
+    for most in (decontaminate.FILE_WORDS, 150):
+        monkeypatch.setattr(decontaminate, "FILE_WORDS", most)
         out = decontaminate.decontaminate(docs, benchmark)
         assert out.schema["doc_id"].dataType.simpleString() == "bigint"
         assert got(out, "doc_id", "n_words", "n_hit", "items") == want

@@ -90,6 +90,26 @@ def mapped(uri: str):
         os.unlink(out.name)
 
 
+def packed(*arrays) -> bytes:
+    """Arrays as one blob: how many, their bytes, and one after another."""
+    import numpy as np
+
+    head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64)
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpacked(blob):
+    """The byte arrays of a blob, which is a uint8 array; nothing is copied."""
+    import numpy as np
+
+    n = int(blob[:8].view(np.int64)[0])
+    out, at = [], 8 + 8 * n
+    for s in blob[8 : 8 + 8 * n].view(np.int64).tolist():
+        out.append(blob[at : at + s])
+        at += s
+    return out
+
+
 def text_column(docs: DataFrame, name: str = "text"):
     """The text column, null as empty."""
     from pyspark.sql import functions as F
