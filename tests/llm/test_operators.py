@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -258,13 +259,36 @@ def test_language_model(docs, rows, empty):
 def test_hot_first_words_are_split_and_found_again(spark):
     docs = documents(spark, [(i, " ".join(f"the w{(i * 7 + k) % 97}" for k in range(30))) for i in range(200)])
     model = kneser_ney.train(docs, F.lit(True), shards=8)
-    layout = kneser_ney.find_hot(docs.select("text"), 8)
+    layout = kneser_ney.find_hot(docs.select("text"), 8, 2)
     assert len(layout.hot) and layout.ways.max() > 1
     model2 = kneser_ney.train(docs, F.lit(True), shards=1)
     a, b = (sorted((r.doc_id, round(r.score, 9)) for r in kneser_ney.score(docs, m).collect()) for m in (model, model2))
     assert a == b
 
 
+@pytest.mark.parametrize("what", ["pairs", "words"])
+def test_a_missing_file_of_a_model_raises(spark, what):
+    docs = documents(spark, [(i, f"the w{i % 9} of a w{i % 5}") for i in range(60)])
+    model = kneser_ney.train(docs, F.lit(True), shards=3)
+    files = model.pair_files if what == "pairs" else model.word_files
+    assert files
+    for f in files:
+        os.unlink(f"{model.home.removeprefix('file://')}/{what}/{f:06d}")
+    with pytest.raises(Exception, match="of the model is missing"):
+        kneser_ney.score(docs, model).collect()
+
+
+def test_shards_grow_with_the_corpus(spark, docs, rows, monkeypatch):
+    """A shard's text is bounded, and the number of shards changes no score."""
+    key = lambda m: got(kneser_ney.score(docs.where("doc_id < 40"), m).selectExpr("doc_id", "round(score, 8) AS score"), "doc_id", "score")
+    few = kneser_ney.train(docs, F.lit(True))
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 20_000)
+    many = kneser_ney.train(docs, F.lit(True))
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert few.layout.shards == 4 and many.layout.shards == -(-size // 20_000) > 8 and many.layout.word_shards < many.layout.shards
+    assert key(few) == key(many) and len(many.pair_files) > 4
+
+
 # ---- 3: neighbours
 
 

@@ -20,9 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textscan
-from tidemark.llm.shared import mapped, publish, shared_dir, text_column
+from tidemark.llm.shared import mapped, packed, publish, shared_dir, text_column, unpacked
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+#: Bytes of text whose pairs are one shard, about; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 64 << 20
+#: Shards of pairs for each shard of words, which are far fewer than pairs.
+WORDS_PER = 8
 #: Tokens that a task counts together before it sends its pairs on.
 TOGETHER = 2_000_000
 #: One in so many texts is looked at to find first words to split; it only decides on what shard a pair is.
@@ -54,6 +58,7 @@ class Layout:
     """Where pairs and words are: the number of shards, and first words that are split."""
 
     shards: int
+    word_shards: int
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted
     ways: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
@@ -69,10 +74,10 @@ class Layout:
         return _spread(textscan.mix(at), self.shards)
 
     def of_words(self, word: np.ndarray) -> np.ndarray:
-        return _spread(word, self.shards)
+        return _spread(word, self.word_shards)
 
 
-def find_hot(rows: DataFrame, shards: int) -> Layout:
+def find_hot(rows: DataFrame, shards: int, word_shards: int) -> Layout:
     """Words with more than a quarter of a shard's share of the tokens, from one in LOOK texts."""
     import pyarrow as pa
 
@@ -95,10 +100,10 @@ def find_hot(rows: DataFrame, shards: int) -> Layout:
     found = rows.mapInArrow(heavy, "word string, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
     all_ = found.agg(F.sum("tokens")).first()[0] or 0
     if not all_:
-        return Layout(shards)
+        return Layout(shards, word_shards)
     share = all_ / (4 * shards)
     hot = sorted((int(r.word), -int(-r.n // share)) for r in found.where(F.col("n") > share).collect())  # fewer than 4 for each shard
-    return Layout(shards, np.array([h for h, _ in hot], np.uint64), np.array([max(1, k) for _, k in hot], np.uint64))
+    return Layout(shards, word_shards, np.array([h for h, _ in hot], np.uint64), np.array([max(1, k) for _, k in hot], np.uint64))
 
 
 # ---- blobs
@@ -117,30 +122,15 @@ def _wide(small: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _join(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64)
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _parts(blob: np.ndarray) -> list[np.ndarray]:
-    n = int(blob[:8].view(np.int64)[0])
-    sizes = blob[8 : 8 + 8 * n].view(np.int64).tolist()
-    out, at = [], 8 + 8 * n
-    for s in sizes:
-        out.append(blob[at : at + s])
-        at += s
-    return out
-
-
 def _pack_pairs(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> bytes:
     """Pairs that stand by first word: each first word once, with how many second words it has."""
     at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
     runs = _narrow(np.diff(np.append(at, len(first))))
-    return _join(first[at], *(x for r in (runs, _narrow(count)) for x in (r[1], r[2])), second, runs[0], _narrow(count)[0])
+    return packed(first[at], *(x for r in (runs, _narrow(count)) for x in (r[1], r[2])), second, runs[0], _narrow(count)[0])
 
 
 def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    p = _parts(np.frombuffer(blob, np.uint8))
+    p = unpacked(np.frombuffer(blob, np.uint8))
     u = [x.view(np.uint64) for x in p[:6]]
     return np.repeat(u[0], _wide(p[6], u[1], u[2])), u[5], _wide(p[7], u[3], u[4])
 
@@ -159,15 +149,22 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 def train(docs: DataFrame, learn, text: str = "text", shards: int | None = None) -> Model:
     """Count the model on the rows of ``docs`` for which the column ``learn`` is true.
 
-    ``shards`` is the number of hash arrays of pairs and of words: by default one for each shuffle
-    partition, so a shard's size depends on the cluster's setting and not on the input.
+    ``shards`` is the number of hash arrays of pairs: by default one for each SHARD_BYTES of text or
+    for each shuffle partition, whichever are more.  So what one worker sums is bounded however large
+    the corpus is; first words that would fill a shard are split.  Null texts count as empty, which is
+    one end; repeated rows count each time; other columns don't matter; of an empty table the model
+    gives every token probability 1.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(learn).select(text_column(docs, text).alias("text"))
-    layout = find_hot(docs.where(learn).select(text_column(docs, text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0), n)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(least, int(-(-size // SHARD_BYTES)))
+    n, m = shards, max(min(shards, least), -(-shards // WORDS_PER))
+    layout = find_hot(rows.where(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0), n, m)
     home = shared_dir(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,49 +211,53 @@ def train(docs: DataFrame, learn, text: str = "text", shards: int | None = None)
             key, c, pick = _summed(textscan.pair_key(first, second), c)
             first, second = first[pick], second[pick]
             small, at, big = _narrow(c)
-            publish(f"{home}/pairs/{s:06d}", _join(key, at, big, small))
+            publish(f"{home}/pairs/{s:06d}", packed(key, at, big, small))
             words, times, one, two, more, _ = _summed(first, c, *((c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)))
             after, kinds, _ = _summed(second, np.ones(len(second), np.int64))
             ends = int(c[second == END].sum())
             stats = np.array([len(key), *((c == k).sum() for k in (1, 2, 3, 4))], np.int64)
             out = []
-            for t in range(n):
-                i, j = np.searchsorted(layout.of_words(words), [t, t + 1])
-                k, l = np.searchsorted(layout.of_words(after), [t, t + 1])
-                own_end = np.array([ends if t == layout.of_words(np.array([END]))[0] else 0], np.int64)
-                cols = [words[i:j], after[k:l], own_end, stats if t == s else stats[:0]]
+            # both stand in the order of words' shards; only shards that get something are sent a blob
+            to_words, to_after = layout.of_words(words), layout.of_words(after)
+            end_at, home_at = int(layout.of_words(np.array([END]))[0]), s % m
+            for t in np.unique(np.concatenate([to_words, to_after, [end_at, home_at]])).tolist():
+                i, j = np.searchsorted(to_words, [t, t + 1])
+                k, l = np.searchsorted(to_after, [t, t + 1])
+                own_end = np.array([ends if t == end_at else 0], np.int64)
+                cols = [words[i:j], after[k:l], own_end, np.append(stats, s) if t == home_at else stats[:0]]
                 narrow = [x.astype(np.uint32) if not len(x) or x.max() < 2**32 else x.astype(np.int64) for x in (times[i:j], one[i:j], two[i:j], more[i:j], kinds[k:l])]
-                out.append((t, _join(*cols, *narrow)))
+                out.append((t, packed(*cols, *narrow)))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "blob"])
 
     def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, blobs in by_shard(batches):
-            words, sums, stats = [], [], np.zeros(5, np.int64)
+            words, sums, stats, counted = [], [], np.zeros(5, np.int64), []
             for x in blobs:
-                p = _parts(np.frombuffer(x, np.uint8))
+                p = unpacked(np.frombuffer(x, np.uint8))
                 w, a, end, own = p[0].view(np.uint64), p[1].view(np.uint64), p[2].view(np.int64), p[3].view(np.int64)
                 by = [v.view(np.uint32 if len(v) == 4 * len(k) else np.int64).astype(np.int64) for v, k in zip(p[4:], (w, w, w, w, a))]
                 words += [w, a, np.array([END])]
                 zero = np.zeros(len(w), np.int64)
                 sums += [np.stack([*by[:4], zero], 1), np.stack([*[np.zeros(len(a), np.int64)] * 4, by[4]], 1), np.array([[end[0], 0, 0, 0, 0]], np.int64)]
                 if len(own):
-                    stats += own
+                    stats += own[:5]
+                    counted.append(int(own[5]))
             words, sums = np.concatenate(words), np.concatenate(sums)
             known = sums.any(1)
             key, *cols, _ = _summed(words[known], *sums[known].T)
-            publish(f"{home}/words/{s:06d}", _join(key, *cols))
+            publish(f"{home}/words/{s:06d}", packed(key, *cols))
             real = key != START
             kinds = cols[4][real]
-            told = {"pairs": stats.tolist(), "tokens": int(cols[0][real].sum()), "words": int(real.sum()), "kinds": [int(kinds.sum()), *(int((kinds == k).sum()) for k in (1, 2, 3, 4)), int((kinds > 2).sum())]}
+            told = {"shards": counted, "pairs": stats.tolist(), "tokens": int(cols[0][real].sum()), "words": int(real.sum()), "kinds": [int(kinds.sum()), *(int((kinds == k).sum()) for k in (1, 2, 3, 4)), int((kinds > 2).sum())]}
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([json.dumps(told)])], names=["shard", "told"])
 
-    def gathered(rows):
-        return rows.repartition(n, "shard").sortWithinPartitions("shard")
+    def gathered(rows, parts):
+        return rows.repartition(parts, "shard").sortWithinPartitions("shard")
 
-    sums = gathered(gathered(rows.mapInArrow(count, "shard int, blob binary")).mapInArrow(sum_pairs, "shard int, blob binary"))
+    sums = gathered(gathered(rows.mapInArrow(count, "shard int, blob binary"), n).mapInArrow(sum_pairs, "shard int, blob binary"), m)
     told = {r.shard: json.loads(r.told) for r in sums.mapInArrow(sum_words, "shard int, told string").collect()}  # one row of totals per shard
     total = lambda k: np.sum([t[k] for t in told.values()], axis=0).tolist() if told else None
-    return Model(home, layout, sorted(told), total("pairs") or [0] * 5, total("tokens") or 0, total("words") or 0, total("kinds") or [0] * 6)
+    return Model(home, layout, sorted(s for t in told.values() for s in t["shards"]), sorted(told), total("pairs") or [0] * 5, total("tokens") or 0, total("words") or 0, total("kinds") or [0] * 6)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -276,7 +277,8 @@ class Model:
 
     home: str
     layout: Layout
-    shards: list[int]
+    pair_files: list[int]  # shards that were counted and published
+    word_files: list[int]
     pairs: list[int]  # kinds, and how many have the counts 1 to 4
     tokens: int
     words: int
@@ -305,14 +307,19 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m = model
-        self._maps: dict[tuple[str, int], list[np.ndarray] | None] = {}
+        self._maps: dict[tuple[str, int], list[np.ndarray]] = {}
+        self._files = {"pairs": set(model.pair_files), "words": set(model.word_files)}
 
     def _at(self, what: str, shard: int) -> list[np.ndarray] | None:
+        """A shard's arrays; None where nothing was counted.  A file that was published and isn't there raises."""
+        if shard not in self._files[what]:
+            return None
         if (what, shard) not in self._maps:
+            uri = f"{self.m.home}/{what}/{shard:06d}"
             try:
-                self._maps[what, shard] = _parts(mapped(f"{self.m.home}/{what}/{shard:06d}"))
-            except FileNotFoundError:  # nothing was counted there
-                self._maps[what, shard] = None
+                self._maps[what, shard] = unpacked(mapped(uri))
+            except FileNotFoundError as e:
+                raise FileNotFoundError(f"{uri} of the model is missing: spark.checkpoint.dir must name a folder that all executors share") from e
         return self._maps[what, shard]
 
     def word_stats(self, words: np.ndarray) -> np.ndarray:
@@ -373,7 +380,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     Returns key, ``n_tokens`` (words and the end), ``n_known`` (tokens seen in training),
     ``train_tokens``, ``base_score`` (add-one unigrams), ``score`` and ``perplexity``.  Null text is
-    empty and is the end alone.  A model of no text gives every token probability 1.
+    empty and is the end alone.  A model of no text gives every token probability 1.  Rows may repeat
+    and keys may be null; an empty table gives no rows; other columns are passed on only if ``keep``
+    names them.  A file of the model that is gone raises ``FileNotFoundError``.
     """
     import pyarrow as pa
 
