@@ -471,6 +471,43 @@ def closure(links, fps):
     return {f: root(f) for f in up}
 
 
+def test_crowded_buckets_are_dealt_by_further_bits(spark, monkeypatch):
+    """A bucket of very many fingerprints, and members of other buckets beside: no link is lost in any turn."""
+    rnd = random.Random(12)
+    low = [rnd.getrandbits(48) for _ in range(500)]
+    fps = {(0xABCD << 48) | b for b in low} | {(0xABCD << 48) | (b ^ sum(1 << k for k in rnd.sample(range(48), rnd.randint(1, 4)))) for b in low[:200]} | {rnd.getrandbits(64) for _ in range(50)}
+    fps |= {f ^ 5 for f in list(fps)[:40]}
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in sorted(fps)], "fp long").repartition(3)
+    parts = [(list(range(48, 64)), 0)] + [(list(range(12 * k, 12 * k + 12)), 0) for k in range(4)]
+    want = plain_components(list(enumerate(sorted(fps))))
+    for crowd, turns in ((20_000, 4), (100, 4), (3, 2), (1, 1)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "TURNS", turns)
+        up = {f: f for f in fps}
+
+        def root(f, up=up):
+            while up[f] != f:
+                f = up[f]
+            return f
+
+        for r in simhash.links(df, parts).collect():
+            a, b = (int(np.int64(x).view(np.uint64)) for x in (r.a, r.b))
+            assert (a ^ b).bit_count() <= 4
+            up[root(a)] = root(b)
+        groups = defaultdict(set)
+        for f in fps:
+            groups[root(f)].add(want[f])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_one_fingerprint_with_a_third_of_all_rows(spark):
+    rows = [(i, None if i % 3 else f"one two three four five s{i}") for i in range(900)] + [(None, ""), (None, "one two three four five s3")]
+    pairs = [(i, plain_fingerprint(t)) for i, t in rows]
+    of = plain_components([(10**9 if i is None else i, f) for i, f in pairs])
+    out = got(simhash.near_duplicates(documents(spark, rows)), "doc_id", "fingerprint", "component_id")
+    assert out == sorted(((i, f"{f:016x}", of[f]) for i, f in pairs), key=repr)
+
+
 def test_components(spark):
     from tidemark.llm.components import components
 

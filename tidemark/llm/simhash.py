@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import claim, cut, text_column
+from tidemark.llm.textscan import mix
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that the plan is estimated on; the plan changes costs, never results.
@@ -25,6 +26,12 @@ SAMPLE = 2048
 PROBE_COST, CANDIDATE_COST = 1.0, 0.03
 #: Parts that the fingerprints of a component are dealt into when they get its smallest key.
 SALTS = 16
+#: A fingerprint with more than one in HOT times shuffle partitions of all rows is joined by a broadcast.
+HOT = 4
+#: Members of a bucket that are verified in one task; a larger bucket's members are dealt by further bits.
+CROWD = 20_000
+#: Turns of dealing by further bits; what is a crowd even then is verified as it is.
+TURNS = 4
 #: Buckets up to this size are verified by shifted comparisons of a whole batch at once.
 SMALL = 12
 
@@ -218,42 +225,109 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, asks: np.ndarray, radius: i
     return a, b
 
 
+def further_bits(bucket: np.ndarray, fp: np.ndarray, asks: np.ndarray, radius: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Members of crowded buckets in smaller ones: each once for each of radius + 1 groups of bits.
+
+    Two members within the radius agree in all bits of some group, so every link is found again.  The
+    groups are other ones in each turn.
+    """
+    order = np.random.default_rng((radius, turn)).permutation(64)
+    for k, part in enumerate(np.array_split(order, radius + 1)):
+        own = part_values(fp, part.tolist()) + np.uint64(k << 32)
+        yield mix(bucket.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(own + np.uint64(turn << 40))).view(np.int64), fp, asks
+
+
 def links(distinct: DataFrame, parts: list[tuple[list[int], int]], radius: int = RADIUS) -> DataFrame:
-    """(``a``, ``b``): for each bucket, a spanning forest of the links of different fingerprints ``fp``."""
+    """(``a``, ``b``): for each bucket, a spanning forest of the links of different fingerprints ``fp``.
+
+    A bucket of more than ``CROWD`` members isn't verified where it is: its members go on to smaller
+    buckets by further bits, so no task holds more than a crowd, and no link is lost.
+    """
     import pyarrow as pa
 
+    spark = distinct.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["bucket", "fp", "asks"]
+
+    def rows(bucket, fp, asks):
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(asks.astype(np.int8))], names=columns)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(all_fp), 8192):
                 for bucket, fp, asks in probes(all_fp[lo : lo + 8192], parts):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), asks, np.int8))], names=["bucket", "fp", "asks"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[list[np.ndarray]] = []
-
-        def found(cols):
-            a, b = bucket_links(*cols, radius)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False) == 1]
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
-            if last or rest and rest[0][0][0] != cols[0][0]:
-                head = [np.concatenate(x) for x in zip(*rest, [c[:last] for c in cols])]
-                rest = []
-                if len(head[0]):
-                    yield found(head)
-            rest.append([c[last:] for c in cols])
-        if rest:
-            yield found([np.concatenate(x) for x in zip(*rest)])
-
-    spark = distinct.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select("fp").mapInArrow(probe, "bucket long, fp long, asks byte").repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
-    return dealt.mapInArrow(verify, "a long, b long")
+                    yield rows(bucket, fp, np.full(len(fp), asks))
+
+    def verify(last: bool):
+        """Links (``a``, ``b``), and as rows with a ``bucket`` the members of crowds."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+            size, crowd = 0, None
+
+            def found(cols):
+                a, b = bucket_links(*cols, radius)
+                ends = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b))
+                return pa.RecordBatch.from_arrays([*ends, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int8())], names=["a", "b", "bucket", "asks"])
+
+            def passed_on(cols):
+                return pa.RecordBatch.from_arrays([pa.array(cols[1].view(np.int64)), pa.nulls(len(cols[0]), pa.int64()), pa.array(cols[0]), pa.array(cols[2].astype(np.int8))], names=["a", "b", "bucket", "asks"])
+
+            def done():
+                return found([np.concatenate(x) for x in zip(*held)])
+
+            for b in batches:
+                cols = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False) == 1]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [len(cols[0])]]) if len(cols[0]) else [0]
+                spans = list(zip(cuts[:2], cuts[1:2])) + list(zip(cuts[1:-1], cuts[2:]))
+                if len(cuts) > 3 and np.diff(cuts[1:-1]).max() <= CROWD:  # the buckets in the middle, all at once
+                    spans = [(cuts[0], cuts[1]), (cuts[1], cuts[-2]), (cuts[-2], cuts[-1])]
+                whole = []  # members of buckets that end within this batch
+                for i, j in spans:
+                    own = [c[i:j] for c in cols]
+                    if held and own[0][0] != held[0][0][0]:
+                        yield done()
+                        held, size = [], 0
+                    if crowd is not None and own[0][0] != crowd:
+                        crowd = None
+                    if crowd is None and not last and own[0][0] == own[0][-1] and size + j - i > CROWD:
+                        crowd = own[0][0]
+                        for x in held:
+                            yield passed_on(x)
+                        held, size = [], 0
+                    if crowd is not None:
+                        yield passed_on(own)
+                    elif j < len(cols[0]) and not held:
+                        whole.append(own)
+                    else:  # the last bucket of a batch may go on
+                        held.append(own)
+                        size += j - i
+                if whole:
+                    yield found([np.concatenate(x) for x in zip(*whole)])
+            if held:
+                yield done()
+
+        return run
+
+    def deal(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for cols in further_bits(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False) == 1, radius, turn):
+                    yield rows(*cols)
+
+        return run
+
+    dealt, out, schema = distinct.select("fp").mapInArrow(probe, "bucket long, fp long, asks byte"), None, "a long, b long, bucket long, asks byte"
+    for turn in range(TURNS + 1):
+        met = cut(dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "asks").mapInArrow(verify(turn == TURNS), schema))
+        own = met.where("bucket is null").select("a", "b")
+        out = own if out is None else out.unionByName(own)
+        crowds = met.where("bucket is not null").selectExpr("bucket", "a AS fp", "asks")
+        if crowds.isEmpty():
+            break
+        dealt = crowds.mapInArrow(deal(turn), "bucket long, fp long, asks byte")
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -265,17 +339,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     any other; rows with a null key get their group's component; an empty table gives no rows.
     """
     marked = cut(fingerprints(docs, key, text))
-    distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("_least")))
-    n = distinct.count()
+    spark = docs.sparkSession
+    distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_rows")))
+    n, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     if n > 1:
         picked = distinct.select("fp", F.xxhash64("fp").alias("_o")).orderBy("_o").limit(SAMPLE).collect()  # at most SAMPLE rows
         sample = np.array([r[0] for r in picked], np.int64).view(np.uint64)
         ends = components(links(distinct, plan(sample, n, radius), radius))
-        joined = distinct.join(ends.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
+        joined = distinct.join(ends.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", "_rows", F.coalesce("root", "fp").alias("_root"))
         least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
         # a component may hold any number of fingerprints: its one row goes to each of SALTS parts of them
         salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        named = joined.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["_root", "_salt"]).select("fp", "component_id")
+        named = cut(joined.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["_root", "_salt"]).select("fp", "component_id", "_rows"))
     else:
-        named = distinct.select("fp", F.col("_least").alias("component_id"))
-    return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        named = distinct.select("fp", F.col("_least").alias("component_id"), "_rows")
+    # a fingerprint of many rows, as that of all empty texts, is broadcast; the others are joined by a shuffle
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = F.col("_rows") > total // (HOT * parts) + 1
+    hot = named.where(many).select("fp", "component_id")  # fewer than HOT * parts rows, 16 bytes each
+    name = [key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"]
+    some = marked.join(F.broadcast(hot), "fp").select(*name)
+    rest = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.where(~many).select("fp", "component_id"), "fp")
+    return some.unionByName(rest.select(*name))
