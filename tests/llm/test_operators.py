@@ -313,20 +313,40 @@ def test_neighbours_exact_when_small(spark):
     assert few.count() == 2
 
 
-def test_recall(spark):
-    rnd = np.random.default_rng(1)
-    centres = rnd.standard_normal((12, 32))
-    x = (centres[rnd.integers(0, 12, 6000)] * 0.5 + rnd.standard_normal((6000, 32))).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+def recall_of(out, ids, x, asked):
     found = defaultdict(set)
-    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, least=400).collect():
+    for r in out:
         found[r.query_id].add(r.vec_id)
     hits = 0
-    for q in range(0, 6000, 100):
-        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
-        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
-    assert hits / 600 >= 0.9
+        hits += len(found[ids[q]] & {ids[i] for i in np.argsort(d, kind="stable")[:10]})
+    return hits / (10 * len(asked))
+
+
+@pytest.mark.parametrize("spread", [0.1, 1.0])
+def test_recall(spark, monkeypatch, spread):
+    """Clustered and shapeless vectors; of clustered ones a query meets a small part."""
+    rnd = np.random.default_rng(1)
+    centres = rnd.standard_normal((60, 32))
+    x = (centres[rnd.integers(0, 60, 6000)] * 0.5 + spread * rnd.standard_normal((6000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    wants = []
+    old = ann.needed
+    monkeypatch.setattr(ann, "needed", lambda *a: wants.append(old(*a)) or wants[-1])
+    out = ann.nearest(df, F.col("vec_id") % 50 == 0, least=100).collect()
+    assert recall_of(out, list(range(6000)), x.astype(float), range(0, 6000, 50)) >= 0.9
+    if spread < 1:
+        assert np.quantile(np.concatenate(wants), 0.96) < 0.05 * 6000
+
+
+def test_recall_of_the_registered_query(spark):
+    data = DATA.replace("0.001", "0.01")
+    rows = [(r.vec_id, r.embedding) for r in queries.table(spark, data, "embeddings").collect() if r.embedding is not None]
+    x = np.array([v for _, v in rows], float)
+    ids = [i for i, _ in rows]
+    assert recall_of(queries.op3_neighbours(spark, data).collect(), ids, x, [k for k, i in enumerate(ids) if i % 100 == 0]) >= 0.9
 
 
 # ---- 4: shards

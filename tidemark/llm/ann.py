@@ -3,13 +3,15 @@
 The trees are fitted on a bounded sample; every vector is then dropped down every tree, and the
 index is the table of (leaf, vector).  A query walks all trees through one priority queue, ordered by
 how little it would have to move to be on a subtree's side, and takes leaves until they hold enough
-vectors.  Where a leaf's vectors and the queries that want it meet, exact distances give the best of
+vectors: as many as it took some of the queries, whose true neighbours are found by looking at all
+vectors once, to find the wished share of those.  Where a leaf's vectors and the queries that want it meet, exact distances give the best of
 that leaf, and the best of all leaves are the answer.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +21,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import cut
 
-#: Vectors that the trees are fitted on, whatever the input.
-FIT = 16_384
+#: Vectors that the trees are fitted on: one in FIT_PART, at least and at most so many.  Leaves grow in number with them.
+FIT_PART, FIT_LEAST, FIT_MOST = 16, 16_384, 131_072
 TREES, LEAF = 8, 32
-#: A query's leaves hold, for each tree, at least this share of all different vectors ...
-SHARE = 0.1
-#: ... and at least so many.
-LEAST = 2_000
+#: The share of true neighbours that is to be found, and the queries that it's measured with.
+RECALL, MEASURED = 0.96, 128
+#: A query's leaves hold, for each tree, at least so many vectors.
+LEAST = 1_000
 #: Vectors of a leaf that meet its queries in one group; a larger leaf is several groups.
 GROUP = 2_048
 
@@ -96,11 +98,7 @@ def _plane(x: np.ndarray, rng: np.random.Generator):
     return (n, o, right) if size >= 1e-12 and right.any() and not right.all() else None
 
 
-def fit(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> list[Tree]:
-    return [grow(x, leaf, np.random.default_rng((seed, t))) for t in range(trees)]
-
-
-def walk(forest: list[Tree], q: np.ndarray, sizes: list[np.ndarray], want: int) -> list[tuple[int, int]]:
+def walk(forest: list[Tree], q: np.ndarray, sizes: list[np.ndarray], want: float) -> list[tuple[int, int]]:
     """(tree, leaf)s through one queue over all trees, until they hold ``want`` vectors per tree."""
     heap = [(0.0, t, 0 if len(tree.normal) else -1) for t, tree in enumerate(forest)]
     dots = [tree.normal @ q - tree.offset for tree in forest]
@@ -119,6 +117,16 @@ def walk(forest: list[Tree], q: np.ndarray, sizes: list[np.ndarray], want: int)
     return out
 
 
+def needed(forest: list[Tree], sizes: list[np.ndarray], q: np.ndarray, leaves: np.ndarray) -> list[float]:
+    """For each neighbour, given by its leaf in each tree: the vectors per tree of a query's walk that just finds it."""
+    first = {}
+    held = 0
+    for t, l in walk(forest, q, sizes, float("inf")):
+        held += int(sizes[t][l])
+        first[t, l] = held / len(forest)
+    return [min(first[t, int(l)] for t, l in enumerate(row)) for row in leaves]
+
+
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(``id``, ``vec``) of the rows that take part: alike rows once.
 
@@ -137,7 +145,7 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def nearest(rows: DataFrame, asked, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, share: float = SHARE, least: int = LEAST, fit_rows: int = FIT) -> DataFrame:
+def nearest(rows: DataFrame, asked, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, least: int = LEAST) -> DataFrame:
     """The ``k`` nearest other rows of each row for which the column ``asked`` is true.
 
     Returns ``query_id``, ``rank`` (from 1), the found key and ``score``, the Euclidean distance in
@@ -147,8 +155,14 @@ def nearest(rows: DataFrame, asked, k: int = 10, key: str = "vec_id", vector: st
     Equal vectors are one vector with its k + 1 smallest keys, which is all that an answer can hold
     of them, so a vector that a third of all rows share weighs no more than any other.  Queries with
     equal vectors are searched once.  A leaf with more than ``GROUP`` vectors is dealt over several
-    groups, each of which all its queries visit.  The forest (at most ``fit_rows`` vectors' worth)
-    and the leaves' sizes are broadcast.
+    groups, each of which all its queries visit.  The forest (of at most FIT_MOST vectors) and the
+    leaves' sizes are broadcast.  How many vectors a query looks at is measured: for up to MEASURED
+    queries the true neighbours are found among all vectors, and every query takes as many leaves as
+    let those find ``recall`` of theirs.  On clustered vectors that is a small part of the table; on
+    vectors without any structure a large one, as no tree can tell them apart.
+
+    Vectors that are null, empty, zero, have null or non-finite components or another length than most
+    take no part, nor do rows with a null key; an empty table gives no rows; other columns are ignored.
     """
     import pyarrow as pa
 
@@ -164,9 +178,18 @@ def nearest(rows: DataFrame, asked, k: int = 10, key: str = "vec_id", vector: st
     asking = cut(usable_like(as_query, key, vector, kinds).distinct())
     questions = cut(asking.select("vec").distinct().withColumn("kind", F.monotonically_increasing_id()))
 
-    picked = kinds.select("vec", F.xxhash64(F.col("ids")[0]).alias("_o")).orderBy("_o").limit(fit_rows).select("vec").collect()  # at most fit_rows rows
-    x = np.array([r[0] for r in picked], np.float64) if picked else np.zeros((0, 1))
-    forest = fit(x, trees, leaf)
+    fit_rows = min(FIT_MOST, max(FIT_LEAST, total // FIT_PART))
+    picked = kinds.select("vec", F.xxhash64(F.col("ids")[0]).alias("_o")).orderBy("_o").limit(fit_rows).select("vec").toArrow().column(0)  # at most fit_rows rows
+    x = _matrix(picked.combine_chunks()).astype(np.float64) if len(picked) else np.zeros((0, 1))
+    given = spark.sparkContext.broadcast(x)
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                tree = grow(given.value, leaf, np.random.default_rng((7, t)))
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], names=["id", "tree"])
+
+    forest = [pickle.loads(r.tree) for r in sorted(spark.range(0, trees, 1, trees).mapInArrow(grown, "id long, tree binary").collect())]
     shared = spark.sparkContext.broadcast(forest)
 
     def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +205,38 @@ def nearest(rows: DataFrame, asked, k: int = 10, key: str = "vec_id", vector: st
     for r in kinds.select("vec").mapInArrow(sizes_of, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():  # a row per leaf
         sizes[r.tree][r.leaf] = r.n
     sizes_shared = spark.sparkContext.broadcast(sizes)
-    want = max(least, int(np.ceil(share * total)))
+    tried = questions.select("vec", F.xxhash64("vec").alias("_o")).orderBy("_o").limit(MEASURED).select("vec").toArrow().column(0)  # at most MEASURED rows
+    asks_ = _matrix(tried.combine_chunks()).astype(np.float64) if len(tried) else np.zeros((0, 1))
+    told = spark.sparkContext.broadcast(asks_)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, list[int]]]] = [[] for _ in told.value]
+        for b in batches:
+            v = _matrix(b.column(0)).astype(np.float64)
+            for lo in range(0, len(v), 4096):
+                own = v[lo : lo + 4096]
+                dist = np.stack([((own - q) ** 2).sum(1) for q in told.value])
+                near = np.argpartition(dist, min(k, len(own) - 1), 1)[:, : k + 1]
+                used, place = np.unique(near, return_inverse=True)
+                leaves = np.stack([t.leaf_of(own[used]) for t in shared.value], 1)[place.reshape(near.shape)]
+                for i, held in enumerate(best):
+                    held += zip(dist[i, near[i]].tolist(), leaves[i].tolist())
+                    if len(held) > 1000:
+                        best[i] = sorted(held)[: k + 1]
+        rows_ = [(i, d, l) for i, held in enumerate(best) for d, l in sorted(held)[: k + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows_], t) for c, t in enumerate((pa.int32(), pa.float64(), pa.list_(pa.int32())))], names=["q", "d", "leaves"])
+
+    want = least
+    if len(asks_) and total > least:
+        near = kinds.select("vec").mapInArrow(look, "q int, d double, leaves array<int>")
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy("d", "leaves"))).where(F.col("_n") <= k + 1)
+        by: dict[int, list] = {}
+        for r in near.orderBy("q", "d", "leaves").collect():  # at most MEASURED * (k + 1) rows
+            by.setdefault(r.q, []).append(r.leaves)
+        # the nearest is the query's own vector
+        found = sorted(w for q, rows_ in by.items() for w in needed(forest, sizes, asks_[q], np.array(rows_[1:]).reshape(-1, trees)))
+        if found:
+            want = max(least, int(np.ceil(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)])))
 
     def bucket(tree, leaf_, part):
         return (np.int64(tree) << np.int64(52)) | (np.int64(leaf_) << np.int64(28)) | np.int64(part)
