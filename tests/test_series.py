@@ -1,11 +1,18 @@
 """Scans, statistics and the writer over small series."""
 
+import itertools
+import random
+from dataclasses import replace
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.errors import InvalidState, NotFound, SchemaError, TypeMismatch
+from tidemark.errors import CodecError, InvalidState, NotFound, SchemaError, TypeMismatch
+from tidemark.functions import bitcodecs, codecs
 from tidemark.model import MeasurementSchema, Record, TableSchema, Tablet
 from tidemark.operators import predicates as P
-from tidemark.operators import stats
+from tidemark.operators import indexes, split, stats
 from tidemark.operators.scan import Series
 from tidemark.sources import series as io
 from tidemark.types import Category, Compression, DataType, Encoding, Lit
@@ -138,14 +145,28 @@ def test_writer(spark, tmp_path):
     w.close()
     with pytest.raises(InvalidState):
         w.write_record(Record(4, "d", {"t": 1.0}))
-    s = Series.open(spark, str(tmp_path / "w/double"))
+    home = str(tmp_path / "w")
+    s = replace(Series.open(spark, home), df=io.open_kind(spark, home, DataType.DOUBLE))
     assert list(s.iterate("d", "t")) == [(1, 1.0), (3, 3.0)]
     assert list(s.iterate("e", "t")) == [(1, 5.0)]
-    assert Series.open(spark, str(tmp_path / "w/text")).count("e", "s").first()[0] == 2
+    both = Series.open(spark, home)  # of two types: as text
+    assert list(both.iterate("e", "s")) == [(1, "x"), (2, "y")] and list(both.iterate("d", "t")) == [(1, "1.0"), (3, "3.0")]
+    told = {(r.device_id, r.measurement): (r.kind, r.encoding, r.compression, r.points, r.start, r.end) for r in io.catalog(spark, home).collect()}
+    assert told[("d", "t")][0] == "DOUBLE" and told[("d", "t")][3:] == (2, 1, 3) and told[("e", "s")][::3] == ("TEXT", 2)
+    again = io.SeriesWriter(spark, home)  # a later writer's rows come later
+    again.register_device("d", [MeasurementSchema("t", DataType.DOUBLE, Encoding.DICTIONARY), MeasurementSchema("idle", DataType.INT32)])
+    again.write_record(Record(0, "d", {"t": 0.5}))
+    again.close()
+    s, both = replace(s, df=io.open_kind(spark, home, DataType.DOUBLE)), Series.open(spark, home)
+    assert list(s.iterate("d", "t")) == [(1, 1.0), (3, 3.0), (0, 0.5)]
+    assert s.get("d", "t", 2).first()["value"] == 0.5 and s.get("d", "t", 3).count() == 0
+    assert both.df.groupBy("seq").count().where("count > 1").count() == 0
+    told = {(r.device_id, r.measurement): (r.encoding, r.points) for r in io.catalog(spark, home).collect()}
+    assert told[("d", "t")] == ("DICTIONARY", 3) and told[("d", "idle")][1] == 0
     files = list((tmp_path / "w").rglob("*.parquet"))
     assert Series.file_size(spark, str(tmp_path / "w")) == sum(f.stat().st_size for f in files)
     kept = s.cached()
-    assert kept.count("d", "t").first()[0] == 2
+    assert kept.count("d", "t").first()[0] == 3
     kept.clear_cache()
 
 
@@ -201,3 +222,66 @@ def test_ship(spark):
 
     names = zipfile.ZipFile(ship(spark)).namelist()
     assert "tidemark/types.py" in names and "tidemark/operators/scan.py" in names
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 20])
+def test_series_of_any_length_are_worked_on_in_chunks(spark, monkeypatch, bits):
+    """One hot series, a null one, and gaps in the order: chunks of 1, 2, 4 and all rows give the same."""
+    monkeypatch.setattr(split, "SPAN_BITS", bits)
+    rnd = random.Random(2)
+    rows = [("hot" if k % 3 else None if k % 2 else "cold", 5 * k + k % 2, rnd.choice([1, 1, 2, None, 7])) for k in range(80)]
+    df = spark.createDataFrame(rows, "s string, seq long, v long").repartition(3)
+    by = {}
+    for s, q, v in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(s, []).append((q, v))
+    take = lambda d, *c: sorted((tuple(r[x] for x in c) for r in d.collect()), key=repr)
+    flat = lambda f: sorted(((s, *x) for s, own in by.items() for x in f(own)), key=repr)
+    assert take(split.placed(df, ["s"], "seq", "n"), "s", "seq", "n") == flat(lambda own: [(q, n) for n, (q, _) in enumerate(own)])
+    assert take(split.lagged(df, ["s"], "seq", "v", "b"), "s", "seq", "b") == flat(lambda own: [(q, own[n - 1][1] if n else None) for n, (q, _) in enumerate(own)])
+    assert take(split.running(df, ["s"], "seq", "v", "t"), "s", "seq", "t") == flat(lambda own: [(q, sum(v or 0 for _, v in own[: n + 1])) for n, (q, _) in enumerate(own)])
+    runs = codecs.rle_encode(df, ["s"], "v", "seq")
+    want = flat(lambda own: [(n, v, len(list(g))) for n, (v, g) in enumerate(itertools.groupby(v for _, v in own))])
+    assert take(runs, "s", "run", "v", "length") == want
+    assert take(codecs.rle_decode(runs.where("s = 'hot'"), ["s"], "v"), "place", "v") == sorted(((n, v) for n, (_, v) in enumerate(by["hot"])), key=repr)
+    whole = df.where("v is not null")
+    back = codecs.delta_of_delta_decode(codecs.delta_of_delta(whole, ["s"], "v", "seq").drop("v"), ["s"], "code", "seq", "v")
+    assert take(back, "s", "seq", "v") == take(whole, "s", "seq", "v")
+    ids = codecs.dictionary_ids(df, ["s"], "v", "seq")
+    assert take(ids, "s", "seq", "id") == flat(lambda own: [(q, list(dict.fromkeys(v for _, v in own)).index(v)) for q, v in own])
+    monkeypatch.setattr(indexes, "SPAN_BITS", bits)
+    names = df.withColumn("t", F.concat(F.lit("x"), F.col("v").cast("string")))
+    order = list(dict.fromkeys(f"x{v}" for _, _, v in sorted(rows, key=lambda r: r[1]) if v is not None))
+    assert take(indexes.dictionary(names, "t", "seq"), "t", "id") == sorted((t, n) for n, t in enumerate(order))
+
+
+def test_a_dictionary_that_is_too_small_raises(spark):
+    df = spark.createDataFrame([("a", k, k % 3) for k in range(20)] + [("b", k, k) for k in range(20)], "s string, seq long, v long")
+    assert sorted(tuple(r) for r in codecs.fits_dictionary(df, ["s"], "v", 5).collect()) == [("a", 3, True), ("b", 20, False)]
+    with pytest.raises(Exception, match="a dictionary holds 5 values, and there are more in b"):
+        codecs.dictionary_rle(df, ["s"], "v", "seq", 5).collect()
+    assert codecs.dictionary_rle(df.where("s = 'a'"), ["s"], "v", "seq", 5).count() == 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000])
+def test_block_codecs_without_floats(n):
+    rnd = np.random.default_rng(n)
+    flags = rnd.random(n) > 0.3
+    assert (bitcodecs.gorilla_bool_decode(bitcodecs.gorilla_bool_encode(flags)) == flags).all()
+    assert len(bitcodecs.gorilla_bool_encode(flags)) == 4 + -(-n // 8)
+    for values in (np.round(rnd.random(n) * 100, 2), rnd.integers(-50, 50, n) * 0.25, np.full(n, 3.7)):
+        code = bitcodecs.quantized_encode(values)
+        assert (bitcodecs.quantized_decode(code) == values).all() and len(code) < 24 + 8 + 4 * n
+    small = np.round(rnd.random(n) * 10, 1).astype("f4")
+    assert (bitcodecs.quantized_decode(bitcodecs.quantized_encode(small, "f4"), "f4") == small).all()
+    if n > 1:
+        with pytest.raises(CodecError):
+            bitcodecs.quantized_encode(rnd.random(n))
+    for numbers in (rnd.integers(-9, 9, n), rnd.integers(-(2**58), 2**58, n), np.zeros(n, np.int64)):
+        code = bitcodecs.simple8b_encode(numbers)
+        assert (bitcodecs.simple8b_decode(code) == numbers).all()
+        words, at, u = [], 0, [int(x) for x in (numbers.astype(np.int64) << 1) ^ (numbers.astype(np.int64) >> 63)]
+        while at < n:  # greedy: the first selector that fits
+            s = next(s for s, (m, w) in enumerate(bitcodecs._WORDS) if at + m <= n and all((x & 2**64 - 1).bit_length() <= w for x in u[at : at + m]))
+            words.append(s)
+            at += bitcodecs._WORDS[s][0]
+        assert (np.frombuffer(code[4:], "<u8") >> np.uint64(60)).tolist() == words

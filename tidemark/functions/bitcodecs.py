@@ -195,19 +195,28 @@ def simple8b_encode(values: np.ndarray, kind: str = "i8") -> bytes:
     u = _zigzag(values)
     if len(u) and int(u.max()) >= 1 << 60:
         raise CodecError("a value needs more than 60 bits")
-    numbers, out, at = u.tolist(), [], 0
-    size = [x.bit_length() for x in numbers]
-    while at < len(numbers):
-        for s, (n, width) in enumerate(_WORDS):
-            own = size[at : at + n]
-            if len(own) == n and max(own) <= width:
-                word = s << 60
-                for k, x in enumerate(numbers[at : at + n]):
-                    word |= x << k * width
-                out.append(word)
-                at += n
-                break
-    return _head(len(numbers)) + np.array(out, "<u8").tobytes()
+    # for each selector, where a word of it may begin: so many numbers of that width, and no wider one, follow
+    size, n = _lengths(u), len(u)
+    fits = np.full(n + 1, len(_WORDS) - 1)
+    for s in range(len(_WORDS) - 1, -1, -1):
+        many, width = _WORDS[s]
+        if many <= n:
+            wide = np.concatenate([[0], np.cumsum(size > width)])
+            fits[: n - many + 1][wide[many:] == wide[: n - many + 1]] = s
+    begin, at, steps, chosen = [], 0, [m for m, _ in _WORDS], fits.tolist()
+    while at < n:
+        begin.append(at)
+        at += steps[chosen[at]]
+    begin = np.array(begin, np.int64)
+    selector = fits[begin] if len(begin) else np.zeros(0, np.int64)
+    words = selector.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(selector).tolist():
+        many, width = _WORDS[s]
+        if width:
+            own = np.flatnonzero(selector == s)
+            shift = np.arange(many, dtype=np.uint64) * np.uint64(width)
+            words[own] |= np.bitwise_or.reduce(u[begin[own, None] + np.arange(many)] << shift, 1)
+    return _head(n) + words.astype("<u8").tobytes()
 
 
 def simple8b_decode(data: bytes, kind: str = "i8") -> np.ndarray:
@@ -294,16 +303,69 @@ def sprintz_decode(data: bytes, kind: str = "i8") -> np.ndarray:
     return np.array(out, f"i{kind[1]}").view(kind)
 
 
+# ---- Booleans, and values on a grid
+
+
+def gorilla_bool_encode(values: np.ndarray, kind: str = "b1") -> bytes:
+    """The first value, then a bit for each: whether it differs from the one before."""
+    v = np.asarray(values, bool)
+    return _head(len(v)) + np.packbits(np.concatenate([v[:1], v[1:] ^ v[:-1]])).tobytes()
+
+
+def gorilla_bool_decode(data: bytes, kind: str = "b1") -> np.ndarray:
+    n = _count(data)
+    if len(data) != 4 + -(-n // 8):
+        raise CodecError("a block of another length")
+    return np.bitwise_xor.accumulate(np.unpackbits(np.frombuffer(data, np.uint8, offset=4), count=n)).astype(bool) if n else np.zeros(0, bool)
+
+
+#: Steps that are tried for a block's grid: powers of ten, and their halves and quarters.
+_STEPS = [m * 10.0**-k for k in range(10) for m in (1.0, 0.5, 0.25)]
+
+
+def quantized_encode(values: np.ndarray, kind: str = "f8", step: float | None = None) -> bytes:
+    """Steps above the least value, as differences in words of 60 bits; the head has the least value and the step.
+
+    The step is the largest one tried that gives every value back to the bit, unless one is given.  A
+    block that no step gives back raises ``CodecError``: such values want another encoding.
+    """
+    v = np.ascontiguousarray(values, kind).astype(float)
+    low = float(v.min()) if len(v) else 0.0
+    for s in [step] if step else _STEPS:
+        index = np.round((v - low) / s)
+        if not np.all(np.abs(index) < 2.0**52):
+            continue
+        back = _on_grid(index.astype(np.int64), low, s, kind)
+        if np.array_equal(back.view(f"u{kind[1]}"), np.ascontiguousarray(values, kind).view(f"u{kind[1]}")):
+            return np.array([low, s], "<f8").tobytes() + simple8b_encode(np.diff(index.astype(np.int64), prepend=0))
+    raise CodecError("the values lie on no grid")
+
+
+def _on_grid(index: np.ndarray, low: float, step: float, kind: str) -> np.ndarray:
+    """Grid values, rounded to the decimals that the step has, so that 0.1 and 3 steps of it are as they are written."""
+    places = max(0, int(np.ceil(-np.log10(step) - 1e-9))) + 2
+    return np.round(low + index * step, places).astype(kind)
+
+
+def quantized_decode(data: bytes, kind: str = "f8") -> np.ndarray:
+    if len(data) < 20:
+        raise CodecError("the block has no head")
+    low, step = np.frombuffer(data, "<f8", 2).tolist()
+    return _on_grid(np.cumsum(simple8b_decode(data[16:])), low, step, kind)
+
+
 CODECS = {
+    "gorilla_bool": (gorilla_bool_encode, gorilla_bool_decode), "quantized": (quantized_encode, quantized_decode),
     "gorilla": (gorilla_encode, gorilla_decode), "chimp": (chimp_encode, chimp_decode), "simple8b": (simple8b_encode, simple8b_decode), "sprintz": (sprintz_encode, sprintz_decode),
     "sprintz_fire": (lambda v, k: sprintz_encode(v, k, "fire"), sprintz_decode),
 }
-_KINDS = {"float": "f4", "double": "f8", "int": "i4", "bigint": "i8"}
+_KINDS = {"float": "f4", "double": "f8", "int": "i4", "bigint": "i8", "boolean": "b1"}
+_ONLY = {"simple8b": ("int", "bigint"), "gorilla_bool": ("boolean",), "quantized": ("float", "double")}
 
 
 def _kind(codec: str, df: DataFrame, value: str) -> str:
     name = df.schema[value].dataType.simpleString()
-    if name not in _KINDS or codec == "simple8b" and name not in ("int", "bigint"):
+    if name not in _ONLY.get(codec, ("float", "double", "int", "bigint")):
         raise CodecError(f"{codec} doesn't encode {name}")
     return _KINDS[name]
 
@@ -321,7 +383,7 @@ def encode_blocks(rows: DataFrame, by: list[str], value: str, seq: str, codec: s
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(seq)
-        own = table.column(value).to_numpy()
+        own = table.column(value).to_numpy(zero_copy_only=False)
         cols = {b: table.column(b).slice(0, 1) for b in by}
         return pa.table(cols | {"points": pa.array([len(own)], pa.int64()), "code": pa.array([encode(own, kind)], pa.binary())})
 
@@ -347,19 +409,27 @@ def decode_blocks(blocks: DataFrame, by: list[str], value: str, spark_type: str,
 
 
 def xor_profile(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
-    """(by..., seq, lead, trail, same): zeros around the XOR of each double with the one before in its group."""
+    """(by..., seq, lead, trail, same): zeros around the XOR of each number's bits with the one before in its group."""
     import pyarrow as pa
 
     kinds = [rows.schema[b].dataType.simpleString() for b in [*by, seq]]
+    kind = _kind("xor", rows, value)
+    width = int(kind[1]) * 8
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(seq)
-        bits = table.column(value).to_numpy().astype("f8").view(np.uint64)
+        bits = np.ascontiguousarray(table.column(value).to_numpy(), kind).view(_AS_BITS[kind]).astype(np.uint64)
         x = bits[1:] ^ bits[:-1]
-        top = np.array([64 - int(v).bit_length() for v in x], np.int32)
-        low = np.array([(int(v) & -int(v)).bit_length() - 1 if v else 64 for v in x], np.int32)
+        low = np.where(x == 0, width, np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64)).astype(np.int32)
         out = {c: table.column(c).slice(1) for c in [*by, seq]}
-        return pa.table(out | {"lead": pa.array(top), "trail": pa.array(low), "same": pa.array(x == 0)})
+        return pa.table(out | {"lead": pa.array((width - _lengths(x)).astype(np.int32)), "trail": pa.array(low), "same": pa.array(x == 0)})
 
     slim = rows.where(rows[value].isNotNull()).select(*by, seq, value)
     return slim.groupBy(*by).applyInArrow(run, ", ".join(f"`{b}` {k}" for b, k in zip([*by, seq], kinds)) + ", lead int, trail int, same boolean")
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """The number of bits that each number needs; 0 for 0."""
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(k))
+    return np.bitwise_count(x).astype(np.int64)

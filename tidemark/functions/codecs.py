@@ -1,19 +1,16 @@
 """Encodings that relational operators express: runs, dictionaries, deltas, zigzag, quantisation.
 
-Each encoder works on series: rows partitioned by ``by`` and ordered by ``seq``.  Each decoder gives
-the encoder's input back.
+Each encoder works on series: rows of the same ``by``, in order of the whole number ``seq``.  Each
+decoder gives the encoder's input back.  Long series are worked on in chunks (``operators.split``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import CodecError
-
-
-def _w(by: list[str], seq: str):
-    return Window.partitionBy(*by).orderBy(seq)
+from tidemark.operators import split
 
 
 # ---- runs
@@ -21,17 +18,15 @@ def _w(by: list[str], seq: str):
 
 def rle_encode(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
     """(by..., run, value, length): runs of equal values, numbered from 0; nulls make runs of their own."""
-    w = _w(by, seq)
-    new = F.when(F.row_number().over(w) == 1, 0).otherwise((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
-    marked = rows.select(*by, seq, value, new.alias("_new"))
-    marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slim = split.placed(split.lagged(rows.select(*by, seq, value), by, seq, value, "_last"), by, seq, "_place")
+    marked = slim.withColumn("_new", F.when(F.col("_place") == 0, 0).otherwise((~F.col(value).eqNullSafe(F.col("_last"))).cast("int")))
+    marked = split.running(marked, by, seq, "_new", "run")
     return marked.groupBy(*by, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
 
 
 def rle_decode(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by..., place, value): places from 0 in the order of the runs."""
-    w = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = runs.withColumn("_ahead", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    ahead = split.running(runs, by, "run", "length", "_upto").withColumn("_ahead", F.col("_upto") - F.col("length"))
     spread = ahead.select(*by, value, "_ahead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("_i"))
     return spread.select(*by, (F.col("_ahead") + F.col("_i")).alias("place"), value)
 
@@ -40,10 +35,15 @@ def rle_decode(runs: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def dictionary_ids(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "id") -> DataFrame:
-    """Rows with the id of their value in its series: from 0, by first appearance."""
-    first = F.min(seq).over(Window.partitionBy(*by, value))
-    marked = rows.withColumn("_first", first)
-    return marked.withColumn(out, (F.dense_rank().over(Window.partitionBy(*by).orderBy("_first")) - 1).cast("int")).drop("_first")
+    """Rows with the id of their value in its series: from 0, by first appearance.
+
+    Values are numbered where there's one row for each; a value of many rows is one row there.  Null is
+    a value like any other.
+    """
+    first = rows.groupBy(*by, value).agg(F.min(seq).alias("_first"))
+    numbered = split.placed(first, by, "_first", "_id").select(*[F.col(b).alias(f"_of_{b}") for b in by], F.col(value).alias("_of_value"), F.col("_id").cast("int").alias(out))
+    same = [rows[b].eqNullSafe(numbered[f"_of_{b}"]) for b in by] + [rows[value].eqNullSafe(numbered["_of_value"])]
+    return rows.join(numbered, same).select(*rows.columns, out)
 
 
 def dictionary_of(rows: DataFrame, by: list[str], value: str, id_: str = "id") -> DataFrame:
@@ -55,11 +55,23 @@ def dictionary_decode(rows: DataFrame, entries: DataFrame, by: list[str], id_: s
 
 
 def dictionary_rle(rows: DataFrame, by: list[str], value: str, seq: str, most: int = 256) -> DataFrame:
-    """(by..., run, id, value, length) of series with up to ``most`` different values; others are left out."""
+    """(by..., run, id, value, length): runs of dictionary ids, for series with up to ``most`` different values.
+
+    A series with more raises ``CodecError`` when it's encoded; ``fits_dictionary`` tells such series
+    apart first, for another encoding.
+    """
     coded = dictionary_ids(rows, by, value, seq)
-    fits = coded.groupBy(*by).agg((F.max("id") < most).alias("_fits"))
-    runs = rle_encode(coded.join(fits.where("_fits").select(*by), by, "left_semi"), by, "id", seq)
-    return runs.join(dictionary_of(coded, by, value), [*by, "id"])
+    told = F.raise_error(F.concat(F.lit(f"CodecError: a dictionary holds {most} values, and there are more in "), F.concat_ws(", ", *[F.col(b).cast("string") for b in by])))
+    checked = coded.withColumn("id", F.when(F.col("id") < most, F.col("id")).otherwise(told.cast("int")))
+    runs = rle_encode(checked, by, "id", seq)
+    entries = dictionary_of(coded, by, value)
+    return runs.join(entries.select(*by, F.col("id").alias("_id"), value), [*[runs[b].eqNullSafe(entries[b]) for b in by], runs["id"] == F.col("_id")]).select(*[runs[b] for b in by], "run", "id", value, "length") if by else runs.join(entries, "id")
+
+
+def fits_dictionary(rows: DataFrame, by: list[str], value: str, most: int = 256) -> DataFrame:
+    """(by..., kinds, fits): how many different values a series has, and whether a dictionary holds them."""
+    kinds = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"))
+    return kinds.withColumn("fits", F.col("kinds") <= most)
 
 
 # ---- deltas
@@ -67,22 +79,19 @@ def dictionary_rle(rows: DataFrame, by: list[str], value: str, seq: str, most: i
 
 def delta(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "delta") -> DataFrame:
     """The difference to the value before; null for a series' first."""
-    return rows.withColumn(out, F.col(value) - F.lag(value).over(_w(by, seq)))
+    return split.lagged(rows, by, seq, value, "_last").withColumn(out, F.col(value) - F.col("_last")).drop("_last")
 
 
 def delta_of_delta(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "code") -> DataFrame:
     """Of each series: the first value, the first difference, then differences of differences."""
-    w = _w(by, seq)
-    staged = rows.withColumn("_d", F.col(value) - F.lag(value).over(w))
-    return staged.withColumn(out, F.coalesce(F.col("_d") - F.lag("_d").over(w), F.col("_d"), F.col(value))).drop("_d")
+    staged = split.lagged(delta(rows, by, value, seq, "_d"), by, seq, "_d", "_e")
+    return staged.withColumn(out, F.coalesce(F.col("_d") - F.col("_e"), F.col("_d"), F.col(value))).drop("_d", "_e")
 
 
 def delta_of_delta_decode(rows: DataFrame, by: list[str], code: str, seq: str, out: str = "value") -> DataFrame:
-    w = _w(by, seq)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    staged = rows.withColumn("_n", F.row_number().over(w))
-    staged = staged.withColumn("_d", F.sum(F.when(F.col("_n") > 1, F.col(code)).otherwise(0)).over(upto))
-    return staged.withColumn(out, F.sum(F.when(F.col("_n") == 1, F.col(code)).otherwise(F.col("_d"))).over(upto)).drop("_n", "_d")
+    staged = split.placed(rows, by, seq, "_n").withColumn("_c", F.when(F.col("_n") > 0, F.col(code)).otherwise(0))
+    staged = split.running(staged, by, seq, "_c", "_d").withColumn("_s", F.when(F.col("_n") == 0, F.col(code)).otherwise(F.col("_d")))
+    return split.running(staged, by, seq, "_s", out).drop("_n", "_c", "_d", "_s")
 
 
 # ---- zigzag and variable-length integers

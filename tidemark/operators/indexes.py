@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import CodecError
+from tidemark.operators.split import SPAN_BITS
 
 # ---- tags
 
@@ -127,16 +128,29 @@ def bloom_union(bits: DataFrame, by: list[str]) -> DataFrame:
     return bits.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
+#: Asked items that a filter is tested for together.
+ASKED = 4_096
+
+
 def bloom_probe(bits: DataFrame, wanted: DataFrame, item: str, shape: BloomShape, by: list[str] | None = None) -> DataFrame:
-    """(by..., item) pairs for which a filter may contain the item: never fewer than are true."""
+    """(by..., item) pairs for which a filter may contain the item: never fewer than are true.
+
+    A filter is one row, whose bitmaps are turned into words once.  The different asked items stand in
+    blocks of ASKED with their bits; a filter meets each block once and tests all bits of all its items.
+    """
     by = by or []
-    asked = wanted.select(item).distinct()
-    asked = asked.select(item, F.explode(F.array_distinct(shape.positions(asked[item]))).alias("_bit")).select(item, F.bitmap_bucket_number("_bit").alias("bucket"), F.bitmap_bit_position("_bit").alias("_at"))
-    bit = "shiftright(cast(conv(hex(substring(bitmap, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1"
-    met = asked.join(bits, "bucket").where(f"({bit}) = 1")
-    need = asked.groupBy(item).agg(F.count(F.lit(1)).alias("_need"))
-    got = met.groupBy(*by, item).agg(F.count(F.lit(1)).alias("_got"))
-    return got.join(need, item).where("_got = _need").select(*by, item)
+    # a bitmap of 4096 bytes as 512 words; a word's first byte is its highest
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("bitmap", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    filters = bits.select(*by, "bucket", words.alias("words")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "words"))).alias("_words"))
+    asked = wanted.where(wanted[item].isNotNull()).select(wanted[item].alias("_item")).distinct()
+    spots = F.transform(shape.positions(F.col("_item")), lambda p: F.struct(F.bitmap_bucket_number(p).alias("bucket"), F.bitmap_bit_position(p).alias("at")))
+    many = asked.count()
+    parts = max(1, -(-many // ASKED))
+    blocks = asked.select(F.struct(F.col("_item"), spots.alias("spots")).alias("_ask"), F.pmod(F.xxhash64("_item"), F.lit(parts)).cast("int").alias("_block")).groupBy("_block").agg(F.collect_list("_ask").alias("_asks"))
+    held = lambda s: F.call_function("shiftright", F.get(F.element_at("_words", s["bucket"]), (s["at"] / 64).cast("int")), ((7 - (s["at"] / 8).cast("int") % 8) * 8 + s["at"] % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = filters.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "_block")
+    hits = F.filter("_asks", lambda a: F.forall(a["spots"], lambda s: F.coalesce(held(s), F.lit(False))))
+    return met.select(*by, F.explode(hits).alias("_hit")).select(*by, F.col("_hit._item").alias(item))
 
 
 class Bloom:
@@ -223,7 +237,13 @@ class LevelledBloom:
 def dictionary(rows: DataFrame, text: str, seq: str) -> DataFrame:
     """(text, id): ids from 0 in the order of first appearance.
 
-    Only the different texts, one row each, are put in one order.
+    Only the different texts, one row each, are put in order, in chunks by where they appear first;
+    what the chunks hold ahead of each other is summed over one row for each chunk.  Texts that first
+    appear at the same place are in the order of the texts.
     """
     first = rows.where(rows[text].isNotNull()).groupBy(text).agg(F.min(seq).alias("_first"))
-    return first.select(text, (F.row_number().over(Window.orderBy("_first", text)) - 1).alias("id"))
+    first = first.withColumn("_chunk", F.shiftright(F.col("_first").cast("long"), SPAN_BITS))
+    ahead = first.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = ahead.select("_chunk", (F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")).alias("_ahead"))  # a row for each chunk
+    place = F.row_number().over(Window.partitionBy("_chunk").orderBy("_first", text)) - 1
+    return first.withColumn("_place", place).join(ahead, "_chunk").select(text, (F.col("_ahead") + F.col("_place")).cast("int").alias("id"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidState, NotFound
 from tidemark.operators import predicates as P
+from tidemark.operators import split
 from tidemark.types import DataType
 
 
@@ -31,7 +32,9 @@ class Series:
     @classmethod
     def open(cls, spark, path: str, **names: str) -> Series:
         """A dataset that a SeriesWriter has written, or any Parquet folder of the long layout."""
-        return cls(spark.read.parquet(path), **names)
+        from tidemark.sources.series import open_points
+
+        return cls(open_points(spark, path), **names)
 
     @staticmethod
     def file_size(spark, path: str) -> int:
@@ -103,9 +106,8 @@ class Series:
 
     def get(self, device, measurement, index: int) -> DataFrame:
         """The point at a place in the order of writing, from 0; no row beyond the end."""
-        w = Window.partitionBy(self.device, self.measurement).orderBy(self.seq)
-        ranked = self._where(device, measurement).withColumn("_n", F.row_number().over(w))
-        return ranked.where(F.col("_n") == index + 1).drop("_n")
+        ranked = split.placed(self._where(device, measurement), [self.device, self.measurement], self.seq, "_n")
+        return ranked.where(F.col("_n") == index).drop("_n")
 
     def iterate(self, device, measurement) -> Iterator[tuple]:
         """(time, value) in the order of writing, fetched partition by partition."""

@@ -7,10 +7,11 @@ the points themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import predicates as P
+from tidemark.operators import split
 from tidemark.types import DataType
 
 #: Points of a mini-block at least, and mini-blocks of a page at most
@@ -58,8 +59,7 @@ def merge(partial: DataFrame, by: list[str]) -> DataFrame:
 
 def blocks_of(points: DataFrame, by: list[str], rows: int, seq: str = "seq", block: str = "block") -> DataFrame:
     """Points with the number of their block: ``rows`` points each, in the order of writing."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    return points.withColumn(block, F.floor((F.row_number().over(w) - 1) / rows).cast("int"))
+    return split.placed(points, by, seq, "_place").withColumn(block, F.floor(F.col("_place") / rows).cast("int")).drop("_place")
 
 
 def mini_blocks(points: DataFrame, by: list[str], seq: str = "seq", block: str = "mini_block") -> DataFrame:
@@ -68,13 +68,15 @@ def mini_blocks(points: DataFrame, by: list[str], seq: str = "seq", block: str =
     A page of fewer than 250 points is one; up to 8 near-equal ones otherwise, of at least 250 points
     where 8 would hold fewer; the first ones get the remainder.
     """
-    w = Window.partitionBy(*by)
-    total, place = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(seq)) - 1
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")).select(*[F.col(b).alias(f"_of_{b}") for b in by], "_total")
+    met = split.placed(points, by, seq, "_place")
+    met = met.join(sizes, [met[b].eqNullSafe(sizes[f"_of_{b}"]) for b in by]).drop(*[f"_of_{b}" for b in by])
+    total, place = F.col("_total"), F.col("_place")
     eighth = F.floor(total / MOST_BLOCKS)
     number = F.when(total < LEAST_POINTS, 1).when(eighth < LEAST_POINTS, F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.floor(total / LEAST_POINTS)))).otherwise(MOST_BLOCKS)
     small, more = F.floor(total / number), total % number
     edge = more * (small + 1)
-    return points.withColumn(block, F.when(place < edge, F.floor(place / (small + 1))).otherwise(more + F.floor((place - edge) / small)).cast("int"))
+    return met.withColumn(block, F.when(place < edge, F.floor(place / (small + 1))).otherwise(more + F.floor((place - edge) / small)).cast("int")).drop("_place", "_total")
 
 
 def manifest(points: DataFrame, by: list[str], kind: DataType, rows: int, value: str = "value", time: str = "ts", seq: str = "seq") -> DataFrame:
@@ -90,5 +92,4 @@ def prune(blocks: DataFrame, predicate, measurement: str, kind: DataType) -> Dat
 
 def violations(points: DataFrame, by: list[str], time: str = "ts", seq: str = "seq") -> DataFrame:
     """Points whose time isn't later than that of the point written before: an aligned batch has none."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    return points.withColumn("previous", F.lag(time).over(w)).where(F.col(time) <= F.col("previous"))
+    return split.lagged(points, by, seq, time, "previous").where(F.col(time) <= F.col("previous"))

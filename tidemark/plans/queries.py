@@ -17,7 +17,7 @@ from tidemark.operators import predicates as P
 from tidemark.operators.scan import Series
 from tidemark.sources import series as io
 from tidemark.streaming import live
-from tidemark.types import Category, Compression, DataType, Lit
+from tidemark.types import Category, Compression, DataType, Encoding, Lit
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -294,12 +294,12 @@ def stats_double(spark, d):
     return _rounded(_stats(DataType.DOUBLE, lambda: F.col("gap"))(spark, d))
 
 
-@query(f"SELECT user_id, count(v) AS n, round(sum(v) FILTER (NOT isnan(v)), 4) AS total, min(v) FILTER (NOT isnan(v)) AS low, max(v) FILTER (NOT isnan(v)) AS high FROM (SELECT e.user_id, n.v FROM {_NAN} n JOIN events e USING (event_id)) GROUP BY user_id")
+@query(f"SELECT user_id, count(v) AS n, bool_or(isnan(v)) AS nan_total, CASE WHEN NOT bool_or(isnan(v)) THEN round(sum(v), 4) END AS total, min(v) FILTER (NOT isnan(v)) AS low, max(v) FILTER (NOT isnan(v)) AS high FROM (SELECT e.user_id, n.v FROM {_NAN} n JOIN events e USING (event_id)) GROUP BY user_id")
 def stats_nan_bounds(spark, d):
+    """NaN is in a total, which it makes NaN, and in no bound."""
     rows = _nan(spark, d).join(table(spark, d, "events").select("event_id", "user_id", "ts"), "event_id")
-    full = stats.statistics(rows, ["user_id"], DataType.DOUBLE, "v", "ts", "event_id").select("user_id", "n", "low", "high")
-    sums = rows.groupBy("user_id").agg(F.round(F.sum(F.when(~F.isnan("v"), F.col("v"))), 4).alias("total"))
-    return full.join(sums, "user_id")
+    full = stats.statistics(rows, ["user_id"], DataType.DOUBLE, "v", "ts", "event_id")
+    return full.select("user_id", "n", F.isnan("total").alias("nan_total"), F.when(~F.isnan("total"), F.round("total", 4)).alias("total"), "low", "high")
 
 
 @query(_stats_sql("value", "round(sum(v), 4)", True))
@@ -328,11 +328,10 @@ def page_blocks(spark, d):
   SELECT event_type, event_id, CAST(CASE WHEN t < 250 THEN 0 WHEN t // 8 >= 250 THEN ntile(8) OVER w - 1 ELSE CASE t // 250
     WHEN 1 THEN 0 WHEN 2 THEN ntile(2) OVER w - 1 WHEN 3 THEN ntile(3) OVER w - 1 WHEN 4 THEN ntile(4) OVER w - 1 WHEN 5 THEN ntile(5) OVER w - 1 WHEN 6 THEN ntile(6) OVER w - 1
     WHEN 7 THEN ntile(7) OVER w - 1 ELSE ntile(8) OVER w - 1 END END AS INTEGER) AS mini_block
-  FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS t FROM events WHERE event_type <> 'view' OR event_id % 3 = 0) WINDOW w AS (PARTITION BY event_type ORDER BY event_id)
+  FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS t FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY event_id)
 ) GROUP BY ALL""")
 def miniblock_split(spark, d):
-    rows = table(spark, d, "events").where("event_type <> 'view' OR event_id % 3 = 0")
-    m = stats.mini_blocks(rows, ["event_type"], "event_id")
+    m = stats.mini_blocks(table(spark, d, "events"), ["event_type"], "event_id")
     return m.groupBy("event_type", "mini_block").agg(F.count(F.lit(1)).alias("points"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
@@ -453,15 +452,25 @@ def bloom_no_false_negatives(spark, d):
     return hits.join(own, ["event_type", "user_id"], "left_semi").groupBy("event_type").agg(F.count(F.lit(1)).alias("found"))
 
 
-@query()
+@query(f"""SELECT b.user_id, b.block, b.value, TRUE AS few FROM (SELECT DISTINCT user_id, block, value FROM {_BLOCKS}) b
+  JOIN (SELECT DISTINCT value FROM (SELECT min(value) AS value FROM events GROUP BY event_type)) w ON b.value = w.value""")
 def bloom_prune_blocks(spark, d):
-    """Blocks that may hold some values; filters of blocks unite to those of devices."""
+    """Blocks that hold the least value of some measurement, looked for in the filters of devices, then of blocks.
+
+    Every block that holds one is found; ``few`` says whether at most 3 % of all other pairs are.
+    """
     shape = indexes.BloomShape.sized(64, 0.01)
-    rows = stats.blocks_of(table(spark, d, "events"), ["user_id"], 16, "event_id")
+    e = table(spark, d, "events")
+    rows = stats.blocks_of(e, ["user_id"], 16, "event_id").select("user_id", "block", "value")
     bits = indexes.bloom_bits(rows, "value", shape, ["user_id", "block"])
-    wanted = table(spark, d, "events").where("event_id < 5").select("value")
+    wanted = e.groupBy("event_type").agg(F.min("value").alias("value")).select("value").distinct()
     chunks = indexes.bloom_probe(indexes.bloom_union(bits, ["user_id"]), wanted, "value", shape, ["user_id"]).select("user_id").distinct()
-    return indexes.bloom_probe(bits.join(chunks, "user_id", "left_semi"), wanted, "value", shape, ["user_id", "block"])
+    found = indexes.bloom_probe(bits.join(chunks, "user_id", "left_semi"), wanted, "value", shape, ["user_id", "block"])
+    true = rows.distinct().withColumn("_true", F.lit(True))
+    marked = found.join(true, ["user_id", "block", "value"], "left")
+    share = bits.select("user_id", "block").distinct().agg(F.count(F.lit(1)).alias("_filters")).join(wanted.agg(F.count(F.lit(1)).alias("_asked")), how="cross").join(marked.where("_true is null").agg(F.count(F.lit(1)).alias("_wrong")), how="cross")  # one row each
+    few = share.select((F.col("_wrong") <= 0.03 * F.col("_filters") * F.col("_asked")).alias("few"))
+    return marked.where("_true").drop("_true").join(F.broadcast(few), how="cross")
 
 
 @query("SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS id FROM (SELECT o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY 1)")
@@ -581,13 +590,14 @@ def enc_dictionary_rle(spark, d):
 
 
 def _blocks(spark, d):
-    return stats.blocks_of(table(spark, d, "events"), ["event_type"], 512, "event_id").select("event_type", "block", "event_id", "value", (F.col("value") * 100).cast("long").alias("cents"), F.col("user_id").cast("int").alias("user"), F.col("value").cast("float").alias("small"))
+    return stats.blocks_of(table(spark, d, "events"), ["event_type"], 512, "event_id").select("event_type", "block", "event_id", "value", (F.col("value") * 100).cast("long").alias("cents"), F.col("user_id").cast("int").alias("user"), F.col("value").cast("float").alias("small"), (F.floor(F.col("value") * 10) / 10).alias("grid"), (F.col("value") > 50).alias("high"))
 
 
 _PLACES = "SELECT event_type, block, row_number() OVER (PARTITION BY event_type, block ORDER BY event_id) - 1 AS place, {col} FROM (SELECT *, CAST((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 512 AS INTEGER) AS block FROM events)"
 for _codec, _col, _type, _sql in (
     ("gorilla", "value", "double", "value"), ("gorilla", "small", "float", "CAST(value AS FLOAT) AS small"), ("chimp", "value", "double", "value"), ("chimp", "small", "float", "CAST(value AS FLOAT) AS small"),
     ("simple8b", "user", "int", 'CAST(user_id AS INTEGER) AS "user"'), ("sprintz", "user", "int", 'CAST(user_id AS INTEGER) AS "user"'), ("sprintz", "value", "double", "value"), ("sprintz_fire", "user", "int", 'CAST(user_id AS INTEGER) AS "user"'),
+    ("quantized", "grid", "double", "floor(value * 10) / 10 AS grid"), ("gorilla_bool", "high", "boolean", "value > 50 AS high"),
 ):
 
     def _round_trip(spark, d, _codec=_codec, _col=_col, _type=_type):
@@ -597,11 +607,16 @@ for _codec, _col, _type, _sql in (
     query(_PLACES.format(col=_sql), f"roundtrip_{_codec}_{_col}")(_round_trip)
 
 
-@query()
+_XORS = """(SELECT event_type, xor(cents, lag(cents) OVER (PARTITION BY event_type, block ORDER BY event_id)) AS x FROM (
+  SELECT event_type, event_id, CAST(trunc(value * 100) AS BIGINT) AS cents, CAST((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 512 AS INTEGER) AS block FROM events))"""
+
+
+@query(f"""SELECT event_type, count(*) AS n, count(*) FILTER (x = 0) AS same, sum(CASE WHEN x = 0 THEN 64 WHEN x < 0 THEN 0 ELSE 64 - length(bin(x)) END)::BIGINT AS lead,
+  sum(CASE WHEN x = 0 THEN 64 ELSE length(bin(x & -x)) - 1 END)::BIGINT AS trail FROM {_XORS} WHERE x IS NOT NULL GROUP BY event_type""")
 def xor_residual_stats(spark, d):
-    """How many values repeat, and the mean zeros around XORs, by measurement."""
-    p = bitcodecs.xor_profile(_blocks(spark, d), ["event_type", "block"], "value", "event_id")
-    return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same").cast("long")).alias("same"), F.avg("lead").alias("lead"), F.avg("trail").alias("trail"))
+    """How many whole numbers repeat, and the zeros around XORs, by measurement."""
+    p = bitcodecs.xor_profile(_blocks(spark, d), ["event_type", "block"], "cents", "event_id")
+    return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same").cast("long")).alias("same"), F.sum(F.col("lead").cast("long")).alias("lead"), F.sum(F.col("trail").cast("long")).alias("trail"))
 
 
 _RESIDUAL = "(SELECT event_type, event_id, d, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM (SELECT event_type, event_id, user_id - coalesce(lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS d FROM events))"
@@ -669,7 +684,10 @@ def recommend_encoding(spark, d):
     return analyzer.recommend(table(spark, d, "events"), ["user_id"], "value", "event_id").select("user_id", "pattern", "encoding", "compression")
 
 
-@query("SELECT l_suppkey, pattern FROM (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_tax) AS kinds, 'Quantized' AS pattern FROM lineitem GROUP BY 1)")
+_LINE_GRID = _GRID.replace("FROM events", "FROM (SELECT l_suppkey AS user_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS event_id, l_quantity AS value FROM lineitem)")
+
+
+@query(f"WITH {_LINE_GRID} SELECT user_id AS l_suppkey, pattern FROM p")
 def analyze_quantized(spark, d):
     return analyzer.patterns(_lines(spark, d), ["l_suppkey"], "l_quantity", "k").select("l_suppkey", "pattern")
 
@@ -753,6 +771,48 @@ for _c in Compression:
     query("SELECT user_id AS device_id, event_type AS measurement, ts, value, event_id AS seq FROM events", f"parquet_roundtrip_{_c.parquet}")(_written)
 
 
+@query("""SELECT device_id, measurement, kind, encoding, compression, points, "start", "end" FROM (
+  SELECT l_returnflag AS device_id, 'price' AS measurement, 'DOUBLE' AS kind, 'GORILLA' AS encoding, 'LZ4' AS compression, count(*) AS points, min(l_orderkey) AS "start", max(l_orderkey) AS "end" FROM lineitem GROUP BY l_returnflag
+  UNION ALL SELECT l_returnflag, 'status', 'TEXT', 'DICTIONARY', 'ZSTD', count(*), min(l_orderkey), max(l_orderkey) FROM lineitem GROUP BY l_returnflag)""")
+def writer_catalog(spark, d):
+    """Two types of every device in one dataset: appended in turn, listed with their encodings, and read again."""
+    path, lines = _scratch(spark), table(spark, d, "lineitem")
+    price, status = MeasurementSchema("price", DataType.DOUBLE, Encoding.GORILLA, Compression.LZ4), MeasurementSchema("status", DataType.TEXT, Encoding.DICTIONARY, Compression.ZSTD)
+    w = io.SeriesWriter(spark, path)
+    for r in lines.select("l_returnflag").distinct().collect():  # a row for each device
+        w.register_device(r[0], [price, status])
+    w.close()
+    for m, col in ((price, "l_extendedprice"), (status, "l_linestatus")):
+        rows = lines.select(F.col("l_returnflag").alias("device_id"), F.lit(m.name).alias("measurement"), F.col("l_orderkey").cast("long").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq"), *[(F.col(col) if k is m.kind else F.lit(None)).cast(k.spark).alias(c) for k, c in io.COLUMN.items()])
+        io.append(rows, f"{path}/points", schemas=[price, status], follow=True)
+    return io.catalog(spark, path)
+
+
+@query("""SELECT user_id AS device_id, arg_min(value, o) AS first, arg_max(value, o) AS last, count(*) AS n FROM (
+  SELECT user_id, value, event_id AS o FROM events UNION ALL SELECT user_id, value + 1000, event_id + 1 + (SELECT max(event_id) FROM events) FROM events) GROUP BY user_id""")
+def append_order(spark, d):
+    """What is appended later is later in the order of writing, though it counts from 0 again."""
+    path = _scratch(spark)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("device_id"), F.col("event_type").alias("measurement"), "ts", "value", F.col("event_id").cast("long").alias("seq"))
+    for more in (0, 1000):
+        io.append(rows.withColumn("value", F.col("value") + more), path, follow=more > 0)
+    return stats.statistics(Series.open(spark, path).df, ["device_id"], DataType.DOUBLE).select("device_id", "first", "last", "n")
+
+
+@query("SELECT user_id, event_type AS value, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY f) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT user_id, event_type, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events)")
+def dictionary_by_series(spark, d):
+    """Each device's dictionary of measurements, by first appearance."""
+    e = table(spark, d, "events").withColumn("value", F.col("event_type"))
+    return codecs.dictionary_of(codecs.dictionary_ids(e.select("user_id", "value", "event_id"), ["user_id"], "value", "event_id"), ["user_id"], "value")
+
+
+@query("SELECT user_id, event_type AS name, count(DISTINCT value) AS kinds, count(DISTINCT value) <= 8 AS fits FROM events GROUP BY user_id, event_type")
+def dictionary_fits(spark, d):
+    """Which series a dictionary of 8 entries holds: others want another encoding."""
+    e = table(spark, d, "events").where("value is not null")
+    return codecs.fits_dictionary(e.withColumn("name", F.col("event_type")), ["user_id", "name"], "value", 8)
+
+
 @query("SELECT user_id, event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
 def daily_statistics(spark, d):
     """The statistics that the streaming adaptor keeps, over what is there now."""

@@ -153,10 +153,14 @@ def record_batches(wide: DataFrame, measurements: list[MeasurementSchema], devic
 
 @dataclass
 class SeriesWriter:
-    """Collects records and tablets of registered series, and appends them as long Parquet.
-
-    Every flush adds files; nothing that was written before is lost.  Files are grouped by device and
-    sorted by measurement and time, so that Parquet's statistics prune by both.
+    """Collects records and tablets of registered series, and appends them to one dataset.
+
+    Every flush adds files; nothing that was written before is lost, and ``seq`` goes on after the
+    largest one that is stored, so rows of later writers come later.  There is one writer at a time.
+    Files are grouped by device and sorted by measurement and time, so that Parquet's statistics prune
+    by both.  A dataset has ``points``, with a value column for each type (all but a row's own are
+    null, and cost nothing in Parquet), and ``series``, the registered series with type, encoding and
+    compression.  ``Series.open`` reads it; ``catalog`` lists it.
     """
 
     spark: SparkSession
@@ -164,6 +168,7 @@ class SeriesWriter:
     config: Config = field(default_factory=Config)
     _series: dict = field(default_factory=dict)
     _tablets: dict = field(default_factory=dict)
+    _told: list = field(default_factory=list)
     _seq: int = 0
     closed: bool = False
 
@@ -209,10 +214,18 @@ class SeriesWriter:
         self._seq += 1
 
     def flush(self) -> None:
-        """Append what has been collected: one folder for each type of value."""
-        for kind, rows in self._tablets.items():
-            struct = T.StructType([T.StructField("device_id", T.StringType()), T.StructField("measurement", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("value", kind.spark), T.StructField("seq", T.LongType())])
-            append(self.spark.createDataFrame(rows, struct), f"{self.path}/{kind.name.lower()}", self.config)
+        """Append what has been collected, and the series that were registered since the last time."""
+        rows = [(*row[:3], row[4], *(row[3] if k is kind else None for k in COLUMN)) for kind, own in self._tablets.items() for row in own]
+        if rows:
+            # seq follows the order of writing, whatever the type
+            rows.sort(key=lambda r: r[3])
+            after = last_seq(self.spark, f"{self.path}/points")
+            points = self.spark.createDataFrame([(*r[:3], after + 1 + n, *r[4:]) for n, r in enumerate(rows)], points_schema())
+            append(points, f"{self.path}/points", self.config, [m for own in self._series.values() for m in own.values()])
+        new = [(d, m.name, m.kind.name, m.encoding.name, m.compression.name) for d, own in self._series.items() for m in own.values() if (d, m) not in self._told]
+        if new:
+            self.spark.createDataFrame(new, SERIES).coalesce(1).write.mode("append").parquet(f"{self.path}/series")
+            self._told = [*self._told, *((d, m) for d, own in self._series.items() for m in own.values())]
         self._tablets.clear()
 
     def close(self) -> None:
@@ -220,10 +233,80 @@ class SeriesWriter:
         self.closed = True
 
 
-def append(long: DataFrame, path: str, config: Config = Config()) -> None:
-    """Append long rows of one type, grouped by device and sorted, in one shuffle."""
+#: The value column of each type in a writer's dataset
+COLUMN = {DataType.BOOLEAN: "boolean", DataType.INT32: "int32", DataType.INT64: "int64", DataType.FLOAT: "float", DataType.DOUBLE: "double", DataType.TEXT: "text", DataType.TIMESTAMP: "timestamp", DataType.DATE: "date", DataType.BLOB: "blob"}
+SERIES = "device_id string, measurement string, kind string, encoding string, compression string"
+
+
+def points_schema() -> T.StructType:
+    own = [T.StructField(c, k.spark) for k, c in COLUMN.items()]
+    return T.StructType([T.StructField("device_id", T.StringType()), T.StructField("measurement", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType()), *own])
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p)
+
+
+def last_seq(spark: SparkSession, path: str) -> int:
+    """The largest ``seq`` of a Parquet folder, -1 if there's none: from the files' footers alone."""
+    if not _stored(spark, path):
+        return -1
+    found = spark.read.option("aggregatePushdown", "true").parquet(path).agg(F.max("seq")).first()[0]
+    return -1 if found is None else found
+
+
+def append(long: DataFrame, path: str, config: Config = Config(), schemas: list[MeasurementSchema] = (), follow: bool = False) -> None:
+    """Append long rows, grouped by device and sorted, in one shuffle.
+
+    With ``follow``, ``seq`` counts from after the largest one that is stored.  Parquet's own encodings
+    follow ``schemas``: a column of which some measurement wants a dictionary or runs gets a dictionary,
+    and others the format's second version, which packs differences of whole numbers.
+    """
+    if follow:
+        after = last_seq(long.sparkSession, path)
+        long = long.withColumn("seq", F.col("seq") + F.lit(after + 1))
     dealt = long.repartition(config.files, "device_id") if config.files else long.repartition("device_id")
-    dealt.sortWithinPartitions("device_id", "measurement", "ts").write.mode("append").option("compression", config.compression.parquet).parquet(path)
+    out = dealt.sortWithinPartitions("device_id", "measurement", "ts").write.mode("append").option("compression", config.compression.parquet)
+    if schemas:
+        out = out.option("parquet.writer.version", "v2")
+        words = {Encoding.DICTIONARY, Encoding.RLE, Encoding.DICTIONARY_RLE}
+        for kind in {m.kind for m in schemas}:
+            out = out.option(f"parquet.enable.dictionary#{COLUMN[kind]}", str(any(m.encoding in words for m in schemas if m.kind is kind)).lower())
+    out.parquet(path)
+
+
+def open_points(spark: SparkSession, path: str) -> DataFrame:
+    """(device_id, measurement, ts, value, seq) of a writer's dataset, or of any long Parquet folder.
+
+    The value column has the type of the dataset's series, or where they differ one that holds them all
+    (text if any is text, else double, long or int): ``open_kind`` reads the series of one type as they are.
+    """
+    if not _stored(spark, f"{path}/points"):
+        return spark.read.parquet(path)
+    kinds = {DataType[r.kind] for r in spark.read.parquet(f"{path}/series").select("kind").distinct().collect()}  # a row for each type
+    if len(kinds) == 1:
+        return open_kind(spark, path, next(iter(kinds)))
+    common = common_type(kinds)
+    value = F.coalesce(*[F.col(COLUMN[k]).cast(common.spark) for k in COLUMN if k in kinds])
+    return spark.read.schema(points_schema()).parquet(f"{path}/points").select("device_id", "measurement", "ts", value.alias("value"), "seq")
+
+
+def open_kind(spark: SparkSession, path: str, kind: DataType) -> DataFrame:
+    """The points of one type of a writer's dataset; filters on all columns reach the files."""
+    own = COLUMN[kind]
+    return spark.read.schema(points_schema()).parquet(f"{path}/points").where(F.col(own).isNotNull()).select("device_id", "measurement", "ts", F.col(own).alias("value"), "seq")
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each registered series of a writer's dataset: type, encoding and compression as registered
+    last, how many points it has, and its bounds of time; a series without points has 0 and nulls."""
+    points = spark.read.schema(points_schema()).parquet(f"{path}/points") if _stored(spark, f"{path}/points") else spark.createDataFrame([], points_schema())
+    told = spark.read.parquet(f"{path}/series").withColumn("_at", F.struct(F.col("_metadata.file_modification_time").alias("t"), "encoding", "compression"))
+    told = told.groupBy("device_id", "measurement").agg(*[F.max_by(c, "_at").alias(c) for c in ("kind", "encoding", "compression")])
+    met = points.groupBy("device_id", "measurement").agg(F.count(F.lit(1)).alias("points"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return told.join(met, ["device_id", "measurement"], "left").withColumn("points", F.coalesce("points", F.lit(0)))
 
 
 def manifest_of(long: DataFrame) -> DataFrame:
