@@ -6,7 +6,7 @@ decoder gives the encoder's input back.  Long series are worked on in chunks (``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import CodecError
@@ -18,10 +18,18 @@ from tidemark.operators import split
 
 def rle_encode(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
     """(by..., run, value, length): runs of equal values, numbered from 0; nulls make runs of their own."""
-    slim = split.placed(split.lagged(rows.select(*by, seq, value), by, seq, value, "_last"), by, seq, "_place")
-    marked = slim.withColumn("_new", F.when(F.col("_place") == 0, 0).otherwise((~F.col(value).eqNullSafe(F.col("_last"))).cast("int")))
-    marked = split.running(marked, by, seq, "_new", "run")
-    return marked.groupBy(*by, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
+    w = split.within(by, seq)
+    slim = split.chunked(rows.select(*by, seq, value), seq)
+    new = F.when(F.row_number().over(w) > 1, (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")).otherwise(0)
+    marked = slim.withColumn("_new", new)
+    ends = F.struct(F.col(value).alias("v"))
+    runs = split.carried(marked, by, {"first": F.min_by(ends, F.col(seq)), "last": F.max_by(ends, F.col(seq)), "new": F.sum("_new")}, [
+        # a chunk begins with a new run unless its first value is the last one of the chunk before
+        lambda w: ("_begins", F.when(F.lag("_own_last").over(w).isNull(), 0).otherwise((~F.col("_own_first.v").eqNullSafe(F.lag("_own_last").over(w)["v"])).cast("int"))),
+        lambda w: ("_ahead", split.earlier(w, F.col("_own_new") + F.col("_begins")) + F.col("_begins")),
+    ])
+    runs = runs.withColumn("run", F.col("_ahead") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
 
 
 def rle_decode(runs: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -34,16 +42,24 @@ def rle_decode(runs: DataFrame, by: list[str], value: str) -> DataFrame:
 # ---- dictionaries
 
 
+def _numbered(rows: DataFrame, by: list[str], value: str, seq: str, out: str) -> DataFrame:
+    """(_of_<by>..., _of_value, out): each series' different values, numbered by first appearance."""
+    first = rows.groupBy(*by, value).agg(F.min(seq).alias("_first"))
+    return split.placed(first, by, "_first", "_id").select(*[F.col(b).alias(f"_of_{b}") for b in by], F.col(value).alias("_of_value"), F.col("_id").cast("int").alias(out))
+
+
+def _with_ids(rows: DataFrame, numbered: DataFrame, by: list[str], value: str) -> DataFrame:
+    same = [rows[b].eqNullSafe(numbered[f"_of_{b}"]) for b in by] + [rows[value].eqNullSafe(numbered["_of_value"])]
+    return rows.join(numbered, same).drop(*[f"_of_{b}" for b in by], "_of_value")
+
+
 def dictionary_ids(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "id") -> DataFrame:
     """Rows with the id of their value in its series: from 0, by first appearance.
 
     Values are numbered where there's one row for each; a value of many rows is one row there.  Null is
     a value like any other.
     """
-    first = rows.groupBy(*by, value).agg(F.min(seq).alias("_first"))
-    numbered = split.placed(first, by, "_first", "_id").select(*[F.col(b).alias(f"_of_{b}") for b in by], F.col(value).alias("_of_value"), F.col("_id").cast("int").alias(out))
-    same = [rows[b].eqNullSafe(numbered[f"_of_{b}"]) for b in by] + [rows[value].eqNullSafe(numbered["_of_value"])]
-    return rows.join(numbered, same).select(*rows.columns, out)
+    return _with_ids(rows, _numbered(rows, by, value, seq, out), by, value)
 
 
 def dictionary_of(rows: DataFrame, by: list[str], value: str, id_: str = "id") -> DataFrame:
@@ -60,12 +76,9 @@ def dictionary_rle(rows: DataFrame, by: list[str], value: str, seq: str, most: i
     A series with more raises ``CodecError`` when it's encoded; ``fits_dictionary`` tells such series
     apart first, for another encoding.
     """
-    coded = dictionary_ids(rows, by, value, seq)
     told = F.raise_error(F.concat(F.lit(f"CodecError: a dictionary holds {most} values, and there are more in "), F.concat_ws(", ", *[F.col(b).cast("string") for b in by])))
-    checked = coded.withColumn("id", F.when(F.col("id") < most, F.col("id")).otherwise(told.cast("int")))
-    runs = rle_encode(checked, by, "id", seq)
-    entries = dictionary_of(coded, by, value)
-    return runs.join(entries.select(*by, F.col("id").alias("_id"), value), [*[runs[b].eqNullSafe(entries[b]) for b in by], runs["id"] == F.col("_id")]).select(*[runs[b] for b in by], "run", "id", value, "length") if by else runs.join(entries, "id")
+    runs = _with_ids(rle_encode(rows, by, value, seq), _numbered(rows, by, value, seq, "id"), by, value)
+    return runs.select(*by, "run", F.when(F.col("id") < most, F.col("id")).otherwise(told.cast("int")).alias("id"), value, "length")
 
 
 def fits_dictionary(rows: DataFrame, by: list[str], value: str, most: int = 256) -> DataFrame:
@@ -84,14 +97,34 @@ def delta(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "delt
 
 def delta_of_delta(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "code") -> DataFrame:
     """Of each series: the first value, the first difference, then differences of differences."""
-    staged = split.lagged(delta(rows, by, value, seq, "_d"), by, seq, "_d", "_e")
-    return staged.withColumn(out, F.coalesce(F.col("_d") - F.col("_e"), F.col("_d"), F.col(value))).drop("_d", "_e")
+    w = split.within(by, seq)
+    staged = split.chunked(rows, seq).withColumn("_one", F.lag(value).over(w)).withColumn("_at", F.row_number().over(w))
+    # a chunk's last value, and the one before that if it has two rows
+    tail = F.array_compact(F.array(F.when(F.col("_at") > 1, F.struct(F.col("_one").alias("v"))), F.struct(F.col(value).alias("v"))))
+    empty = F.array().cast(staged.select(tail.alias("t")).schema["t"].dataType)
+    before = lambda w, n: F.coalesce(F.lag("_own_tail", n).over(w), empty)
+    met = split.carried(staged, by, {"tail": F.max_by(tail, F.col(seq))}, [lambda w: ("_tail", F.concat(before(w, 2), before(w, 1)))])
+    earlier = lambda k: F.try_element_at("_tail", F.lit(-k))["v"]
+    one = F.when(F.col("_at") > 1, F.col("_one")).otherwise(earlier(1))
+    two = F.when(F.col("_at") > 2, F.lag(value, 2).over(w)).when(F.col("_at") == 2, earlier(1)).otherwise(earlier(2))
+    d, e = F.col(value) - one, one - two
+    return met.withColumn(out, F.coalesce(d - e, d, F.col(value))).drop("_chunk", "_one", "_at", "_tail")
 
 
 def delta_of_delta_decode(rows: DataFrame, by: list[str], code: str, seq: str, out: str = "value") -> DataFrame:
-    staged = split.placed(rows, by, seq, "_n").withColumn("_c", F.when(F.col("_n") > 0, F.col(code)).otherwise(0))
-    staged = split.running(staged, by, seq, "_c", "_d").withColumn("_s", F.when(F.col("_n") == 0, F.col(code)).otherwise(F.col("_d")))
-    return split.running(staged, by, seq, "_s", out).drop("_n", "_c", "_d", "_s")
+    """Two running sums over each series: of differences of differences, and of the differences they give."""
+    first = rows.groupBy(*by).agg(F.min(seq).alias("_first")).select(*[F.col(b).alias(f"_of_{b}") for b in by], "_first")
+    met = split.chunked(rows.join(first, [rows[b].eqNullSafe(first[f"_of_{b}"]) for b in by]).drop(*[f"_of_{b}" for b in by]), seq)
+    head, w = F.col(seq) == F.col("_first"), split.within(by, seq)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_d", F.sum(F.when(head, 0).otherwise(F.col(code))).over(upto))
+    met = met.withColumn("_s", F.sum(F.when(head, F.col(code)).otherwise(F.col("_d"))).over(upto)).withColumn("_n", F.row_number().over(w) - F.when(F.shiftright(F.col("_first").cast("long"), split.SPAN_BITS) == F.col("_chunk"), 1).otherwise(0))
+    met = split.carried(met, by, {"d": F.max_by("_d", seq), "s": F.max_by("_s", seq), "n": F.max_by("_n", seq)}, [
+        lambda w: ("_before_d", split.earlier(w, "_own_d")),
+        # a chunk's differences are all larger by what the chunks before it have summed up
+        lambda w: ("_before_s", split.earlier(w, F.col("_own_s") + F.col("_own_n") * F.col("_before_d"))),
+    ])
+    return met.withColumn(out, F.col("_before_s") + F.col("_s") + F.col("_n") * F.col("_before_d")).drop("_chunk", "_first", "_d", "_s", "_n", "_before_d", "_before_s")
 
 
 # ---- zigzag and variable-length integers

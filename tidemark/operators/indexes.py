@@ -139,8 +139,8 @@ def bloom_probe(bits: DataFrame, wanted: DataFrame, item: str, shape: BloomShape
     blocks of ASKED with their bits; a filter meets each block once and tests all bits of all its items.
     """
     by = by or []
-    # a bitmap of 4096 bytes as 512 words; a word's first byte is its highest
-    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("bitmap", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    # what a filter uses of a bitmap of 4096 bytes, as words; a word's first byte is its highest
+    words = F.transform(F.sequence(F.lit(0), F.lit(min(511, shape.bits // 64))), lambda i: F.conv(F.hex(F.substring("bitmap", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     filters = bits.select(*by, "bucket", words.alias("words")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "words"))).alias("_words"))
     asked = wanted.where(wanted[item].isNotNull()).select(wanted[item].alias("_item")).distinct()
     spots = F.transform(shape.positions(F.col("_item")), lambda p: F.struct(F.bitmap_bucket_number(p).alias("bucket"), F.bitmap_bit_position(p).alias("at")))

@@ -17,39 +17,54 @@ from pyspark.sql import functions as F
 SPAN_BITS = 20
 
 
-def _within(by: list[str], seq: str) -> WindowSpec:
+def chunked(rows: DataFrame, seq: str) -> DataFrame:
+    return rows.withColumn("_chunk", F.shiftright(F.col(seq).cast("long"), SPAN_BITS))
+
+
+def within(by: list[str], seq: str) -> WindowSpec:
+    """Rows of a chunk, in order."""
     return Window.partitionBy(*by, "_chunk").orderBy(seq)
 
 
-def _carried(rows: DataFrame, by: list[str], seq: str, own: Column, over) -> DataFrame:
-    """``rows`` with ``_chunk``, and ``_before``: what ``over`` makes of the earlier chunks' aggregates ``own``."""
-    rows = rows.withColumn("_chunk", F.shiftright(F.col(seq).cast("long"), SPAN_BITS))
-    each = rows.groupBy(*by, "_chunk").agg(own.alias("_own"))
-    names = [*by, "_chunk"]
-    each = each.withColumn("_before", over(Window.partitionBy(*by).orderBy("_chunk"))).select(*[F.col(b).alias(f"_of_{b}") for b in names], "_before")
-    same = reduce(lambda a, b: a & b, [rows[b].eqNullSafe(each[f"_of_{b}"]) for b in names])
-    return rows.join(each, same).drop(*[f"_of_{b}" for b in names])
+def carried(rows: DataFrame, by: list[str], own: dict[str, Column], steps: list) -> DataFrame:
+    """Chunked rows with what their chunk gets from the earlier ones.
+
+    ``own`` are aggregates of a chunk, by name.  Each of ``steps`` is a function of the window over a
+    series' chunks that gives (name, column) of what is carried; later steps may use earlier ones'.
+    Only the steps' columns are joined to the rows.
+    """
+    each = rows.groupBy(*by, "_chunk").agg(*[c.alias(f"_own_{n}") for n, c in own.items()])
+    w, names = Window.partitionBy(*by).orderBy("_chunk"), []
+    for step in steps:
+        name, col = step(w)
+        each = each.withColumn(name, col)
+        names.append(name)
+    keys = [*by, "_chunk"]
+    each = each.select(*[F.col(b).alias(f"_of_{b}") for b in keys], *names)
+    same = reduce(lambda a, b: a & b, [rows[b].eqNullSafe(each[f"_of_{b}"]) for b in keys])
+    return rows.join(each, same).drop(*[f"_of_{b}" for b in keys])
 
 
-def _earlier(w: WindowSpec) -> Column:
-    return F.coalesce(F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def earlier(w: WindowSpec, col: str | Column) -> Column:
+    """The sum over the earlier chunks."""
+    return F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def placed(rows: DataFrame, by: list[str], seq: str, out: str) -> DataFrame:
     """``rows`` with ``out``: their place in their series, from 0."""
-    met = _carried(rows, by, seq, F.count(F.lit(1)), _earlier)
-    return met.withColumn(out, F.col("_before") + F.row_number().over(_within(by, seq)) - 1).drop("_chunk", "_before")
+    met = carried(chunked(rows, seq), by, {"n": F.count(F.lit(1))}, [lambda w: ("_before", earlier(w, "_own_n"))])
+    return met.withColumn(out, F.col("_before") + F.row_number().over(within(by, seq)) - 1).drop("_chunk", "_before")
 
 
 def lagged(rows: DataFrame, by: list[str], seq: str, value: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the value of the row before in the series, null for the first one."""
-    met = _carried(rows, by, seq, F.max_by(F.struct(F.col(value).alias("v")), F.col(seq)), lambda w: F.lag("_own").over(w))
-    w = _within(by, seq)
+    met = carried(chunked(rows, seq), by, {"last": F.max_by(F.struct(F.col(value).alias("v")), F.col(seq))}, [lambda w: ("_before", F.lag("_own_last").over(w))])
+    w = within(by, seq)
     return met.withColumn(out, F.when(F.row_number().over(w) == 1, F.col("_before.v")).otherwise(F.lag(value).over(w))).drop("_chunk", "_before")
 
 
 def running(rows: DataFrame, by: list[str], seq: str, value: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the sum of the values up to and with the row; nulls count as none."""
-    met = _carried(rows, by, seq, F.coalesce(F.sum(value), F.lit(0)), _earlier)
-    w = _within(by, seq).rowsBetween(Window.unboundedPreceding, 0)
+    met = carried(chunked(rows, seq), by, {"sum": F.coalesce(F.sum(value), F.lit(0))}, [lambda w: ("_before", earlier(w, "_own_sum"))])
+    w = within(by, seq).rowsBetween(Window.unboundedPreceding, 0)
     return met.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_chunk", "_before")
