@@ -11,6 +11,7 @@ and numbers of bounded size, never texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -480,14 +481,16 @@ def train(docs: DataFrame, labels: DataFrame, learn, each: tuple[int, int] = EAC
             yield pa.RecordBatch.from_arrays(cols, names=["y", "hash", "grams", "begin", "at", "size", "first"])
 
     got = rows.select("text", "y").mapInArrow(choose, "y int, hash binary, grams binary, begin binary, at binary, size binary, first binary").collect()  # at most sum(each) rows of some tens of kB
-    got.sort(key=lambda r: tuple(map(bytes, r[1:])) + (r.y,))  # the same order on every run
+    got.sort(key=lambda r: (hashlib.md5(b"".join(r[1:])).digest(), r.y))  # the same order on every run
     wide = lambda x, t: np.frombuffer(x, t).astype(np.int64)
     picked = []
     for r in got:
         at, size = wide(r.at, np.int16), wide(r.size, np.uint8)
-        picked.append((Texts(np.frombuffer(r.hash, np.uint64), wide(r.grams, np.uint16), wide(r.begin, np.int32), at, np.array([0, len(at)])), np.cumsum(size) - size, size, np.frombuffer(r.first, np.float32)))
+        picked.append((Texts(np.frombuffer(r.hash, np.uint64), np.frombuffer(r.grams, np.uint16), wide(r.begin, np.int32), at, np.array([0, len(at)])), np.cumsum(size) - size, size, np.frombuffer(r.first, np.float32)))
     y = np.array([r.y for r in got], float)
-    net = fit(lesson(picked), y, odds, seed=seed)
+    given = lesson(picked)
+    del got, picked
+    net = fit(given, y, odds, seed=seed)
     if 0 < y.sum() < len(y):
         told_net = docs.sparkSession.sparkContext.broadcast(net)
 
