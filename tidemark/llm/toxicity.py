@@ -30,6 +30,8 @@ GRAMS = (3, 4, 5)
 EACH = (1_500, 4_000)
 #: Windows of a labelled text that the network learns from, at most: the worst by log-odds, and some by chance.
 PICKED, CHANCE = 10, 4
+#: Logit of every text where there is no labelled row to learn from.
+UNTAUGHT = -15.0
 #: Tasks that read the labelled texts.
 TASKS = 32
 _F = np.float32
@@ -330,13 +332,14 @@ def fit(given: Lesson, y: np.ndarray, odds: tuple[np.ndarray, np.ndarray], passe
 
     A clean text's windows are all clean.  Of a toxic text, each pass takes its worst windows: in the
     first pass by the log-odds of their words and n-grams (the embeddings' first place starts from
-    these too), later by the network so far, asked every other pass.  With one class only the network says that class's share.
+    these too), later by the network so far, asked every other pass.  With one class only the network
+    says that class's share, and without texts that nothing is toxic.
     """
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     n = len(y)
     if not n or not 0 < y.sum() < n:
-        net.slope, net.shift = 0.0, float(np.log((y.sum() + 1) / (n - y.sum() + 1))) if n else 0.0
+        net.slope, net.shift = 0.0, float(np.log((y.sum() + 1) / (n - y.sum() + 1))) if n else UNTAUGHT
         return net
     sums = {k: np.full(v.shape, 1e-3, _F) for k, v in net.p.items()}
     texts, begin, size = given.texts, given.begin, given.size
@@ -441,7 +444,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, each: tuple[int, int] = EAC
     Labels of other rows are never looked at, not even to count classes.  Executors read whole texts
     of any length; the driver gets at most PICKED + CHANCE windows of a text.  Rows with a null key or
     label teach nothing, and repeated rows count once.  With one class only, every text gets that
-    class's share as its score; without labelled rows a half.
+    class's share as its score; without labelled rows nothing is known to be toxic, every score is
+    below 1e-6, and a filter by ``predicted`` keeps every row.
     """
     import pyarrow as pa
 
