@@ -96,3 +96,19 @@ def test_benchmark_takes_only_rows_that_are_hit(spark, monkeypatch, few):
     out = pipeline.without_benchmark(spark, crowded(spark, rows), DATA)
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(((i, t) for i, t in rows if t != leak), key=repr)
     assert out.columns == pipeline.COLUMNS
+
+
+@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES])
+def test_a_table_without_rows(spark, stage):
+    out = stage(spark, crowded(spark, []), DATA)
+    assert out.count() == 0
+
+
+def test_documents_without_labels_stay(spark):
+    """Where no row has a label, neither classifier rejects any; rows with one id, or none, stay too."""
+    rows = [(i, f"some words of text {i} " * 9) for i in range(10**9, 10**9 + 8)] + [(None, "words of no id"), (None, None), (10**9, ""), (10**9, "x")]
+    docs = crowded(spark, rows)
+    for stage in (pipeline.drop_toxic, pipeline.keep_quality):
+        out = stage(spark, docs.withColumns({"score": F.lit("s"), "predicted": F.lit(2), "y": F.lit(3)}), DATA)
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(rows, key=repr)
+        assert out.columns == pipeline.COLUMNS

@@ -88,6 +88,7 @@ def fit(begin, bucket, value, stats, y, rank: int = RANK, passes: int = 12, rate
     mean, scale = (stats.mean(0), stats.std(0) + 1e-6) if n else (np.zeros(len(STATS)), np.ones(len(STATS)))
     m = Machine(0.0, np.zeros(BUCKETS + len(STATS)), rng.normal(0, 0.02, (BUCKETS + len(STATS), rank)), mean, scale)
     if not n:
+        m.v[:] = 0  # chance starts nothing that wasn't learnt: every logit is 0
         return m
     m.w0 = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     x_all = np.clip((stats - mean) / scale, -5, 5)
