@@ -827,6 +827,16 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, [], default="block").collect()} == {"block"}
 
 
+def test_long_and_repeated_urls(spark):
+    """Each row gets its verdict, whatever the length of its URL, its id or the rows like it."""
+    long = ["http://" + "a." * 20_000 + "com/" + "x/" * 200_000, "http://example.com/en/" + "y" * 1_000_000, "http://" + "net/" * 100_000, "s" * 500_000]
+    rows = [(1, u) for u in long] + [(1, long[1])] * 3 + [(None, "http://net/es/")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    out = [(r.page_id, r.n, r.rule, r.verdict) for r in url_filter.judge_urls(pages, queries.RULES).withColumn("n", F.length("path")).collect()]
+    want = [(1, 400_001, "com/", "allow"), (1, 99_999 * 4 + 1, None, "allow"), (1, 0, None, "allow"), *[(1, 1_000_004, "example.com/en/", "block")] * 4, *[(None, 4, "net/es/", "block")] * 2]
+    assert sorted(out, key=repr) == sorted(want, key=repr)
+
+
 def test_trie_paths():
     trie = url_filter.Trie([url_filter.Rule("block", "a.b", "/x/y"), url_filter.Rule("allow", "a.b", "/x/"), url_filter.Rule("block", "b", ""), url_filter.Rule("allow", "a.b", "/x/y"), url_filter.Rule("block", "", "/zz")])
     find = lambda h, p: (r := trie.find(h, p)) and str(r)
