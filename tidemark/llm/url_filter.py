@@ -42,7 +42,7 @@ class Trie:
 
     def __init__(self, rules: Iterable[Rule]):
         # node: {label: node}; under None the host's paths: [rule for the empty path, segments]
-        # segments: [{whole segment: segments}, {rest: rule}]
+        # segments: [{whole segment: segments}, {rest: rule}, size of the longest rest]
         self.root: dict = {}
         for rule in rules:
             node = self.root
@@ -53,12 +53,13 @@ class Trie:
                 paths[0] = self._stronger(paths[0], rule)
                 continue
             if paths[1] is None:
-                paths[1] = [{}, {}]
+                paths[1] = [{}, {}, 0]
             at = paths[1]
             *whole, rest = rule.path[1:].split("/")
             for segment in whole:
-                at = at[0].setdefault(segment, [{}, {}])
+                at = at[0].setdefault(segment, [{}, {}, 0])
             at[1][rest] = self._stronger(at[1].get(rest), rule)
+            at[2] = max(at[2], len(rest))
 
     @staticmethod
     def _stronger(old: Rule | None, new: Rule) -> Rule:
@@ -86,7 +87,7 @@ class Trie:
         segments = path[1:].split("/")
         for i, segment in enumerate(segments):
             if at[1]:
-                hit = next((at[1][segment[:k]] for k in range(len(segment), -1, -1) if segment[:k] in at[1]), None)
+                hit = next((at[1][segment[:k]] for k in range(min(len(segment), at[2]), -1, -1) if segment[:k] in at[1]), None)
                 best = hit or best
             at = at[0].get(segment) if i + 1 < len(segments) else None
             if at is None:
