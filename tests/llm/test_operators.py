@@ -171,6 +171,38 @@ def test_whole_texts_are_brute_force(lattice):
         assert len({i for _, i in found}) == len(found) and all(ids[i] == v for v, i in found)
 
 
+def test_different_parts_are_looked_up_once_for_many_texts():
+    rnd = random.Random(8)
+    texts = ["", " ", "\n", "a", " a", "a ", "a\n", "\na", "a  b", "a \nb", *("".join(rnd.choice(" \n\tabé▁日🎉") for _ in range(rnd.randint(0, 30))) for _ in range(2000))]
+    for some in (texts, texts[::-1], ["a b a", "b a\nb"], [""], []):
+        names, which, first = nbest.Segmenter.split(some)
+        assert len(set(names)) == len(names) and len(first) == len(some) + 1
+        for t, i, j in zip(some, first[:-1], first[1:]):
+            parts = token_count.pre_tokens(t)
+            assert [names[k] for k in which[i:j]] == ([""] if parts and parts[0][:1] == "\n" else []) + parts
+    asked = []
+    s = nbest.Segmenter(queries.vocabulary(), 4)
+
+    class Cache(dict):
+        def __getitem__(self, p):
+            asked.append(p)
+            return dict.__getitem__(self, p)
+
+    s.at = Cache()
+    s.segment(["one two one two " * 50 + "three"] * 20)
+    assert sorted(asked) == ["", "one", "three", "two"][1:]
+
+
+def test_the_bytes_of_many_ids(spark):
+    texts = ["a b", "zebra", "", "c é\nd", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.round_trip for r in nbest.encode(df, queries.vocabulary()).collect())
+    lat = nbest.segmenter(queries.vocabulary(), 4).lattice
+    ids = np.frombuffer(nbest.Segmenter(queries.vocabulary(), 1).segment(["c é\nd 日🎉"] * 3)[1][0][1], "<u2")
+    many = np.tile(ids, 20_000)  # more than are looked up at once
+    assert lat.raw_of(many) == lat.text_of(ids.tobytes()).encode() * 20_000 and lat.raw_of(ids[:0]) == b""
+
+
 def test_values_beyond_64_bits(spark):
     """10,000 indented lines, double blanks, and one run of 200,000 blanks."""
     texts = ["\n".join(["    x"] * 10_000), "a  b" * 10_000, "a" + " " * 200_000 + "b"]
@@ -682,6 +714,35 @@ def test_toxicity_is_the_plain_network(spark, labelled, rows):
         assert out[i].predicted == int(out[i].score >= 0.5)
 
 
+@pytest.mark.parametrize("bound", [1 << 18, 40, 3])
+def test_words_met_before_are_not_made_again(rows, monkeypatch, bound):
+    monkeypatch.setattr(toxicity, "KNOWN", bound)
+    made, own = [], toxicity.grams_of
+    monkeypatch.setattr(toxicity, "grams_of", lambda data, start, end: (made.append(len(start)), own(data, start, end))[1])
+    net = toxicity.Network.fresh(np.random.default_rng(2))
+    known = toxicity.Known(net)
+    texts = [t or "" for _, t in rows]
+    for lo in (0, 20, 40, 0, 20, 40):
+        for w in textscan.scan(pa.array(texts[lo : lo + 20]), textscan.MARKS):
+            found, want = toxicity.worst_windows(net, *known.prepare(w)), toxicity.worst_windows(net, toxicity.prepare(w))
+            made.pop()  # prepare's own
+            assert found[0] == pytest.approx(want[0], abs=1e-5) and (found[2] == want[2]).all()
+            assert len(known.hash) == len(known.x) <= bound and (np.diff(known.hash.astype(float)) >= 0).all()
+    if bound > 100:
+        assert sum(made) == len(known.hash)  # each word once
+
+
+def test_full_windows_in_place_are_the_network(rows):
+    net = toxicity.Network.fresh(np.random.default_rng(7))
+    for p in net.p.values():
+        p *= 3
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((50, 2 * toxicity.DIM)).astype(np.float32)
+    for n in (1, 2, 700):
+        at = rng.integers(0, 50, (n, toxicity.WINDOW))
+        assert net.run_full(net.gates(x), at) == pytest.approx(net.run(x, at, None), abs=1e-4)
+
+
 def test_toxicity_learns_from_long_texts(spark):
     """Only very long texts, each with one bad word deep inside."""
     rnd = random.Random(9)

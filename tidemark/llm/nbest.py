@@ -30,6 +30,8 @@ STEP = 1 << 20
 UNKNOWN = 10
 #: Parts up to so many characters are solved together with numpy.
 TOGETHER = 48
+#: Parts that are solved together.
+ROWS = 2048
 #: Parts, and bytes of them and their ids, that a worker's cache holds.
 CACHE, CACHE_BYTES = 300_000, 64 << 20
 #: Characters of a part whose edges are kept while it's searched; a longer one's are looked up again.
@@ -111,6 +113,9 @@ class Lattice:
             raise ValueError("the vocabulary has no byte pieces")
         if any("\n" in p or " " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece reaches across words")
+        self.raw_all = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in self.raw])
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         #: scores as whole numbers: exact sums, so ties are ties
         self.unit = 1.0 if np.all(scores == np.round(scores)) else 1e-4
         whole = np.round(scores / self.unit).astype(np.int64)
@@ -128,8 +133,9 @@ class Lattice:
             raise ValueError("two pieces share a hash")
         self.seen = np.zeros(1 << 20, bool)  # by the upper bits of a hash: most substrings stop here
         self.seen[[h >> 44 for h in hashes]] = True
-        self.slots = 1 << 18
-        self.keys, self.vals = np.zeros((4, self.slots), np.uint64), np.full((4, self.slots), -1, np.int64)
+        bits = max(17, (2 * len(hashes)).bit_length())  # at most half of the first table is taken
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.vals = np.zeros((4, 1 << bits), np.uint64), np.full((4, 1 << bits), -1, np.int32)
         self.tables = 0
         for h, i in hashes.items():
             for t in range(4):
@@ -149,13 +155,16 @@ class Lattice:
 
     def _slot(self, h, t: int):
         with np.errstate(over="ignore"):
-            return ((h ^ (h >> np.uint64(31))) * np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)[t])) >> np.uint64(46)
+            return ((h ^ (h >> np.uint64(31))) * np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)[t])) >> self.shift
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(h.shape, -1, np.int64)
-        for t in range(self.tables):
-            s = self._slot(h, t)
-            np.copyto(out, self.vals[t][s], where=self.keys[t][s] == h)
+        s = self._slot(h, 0).astype(np.int64)
+        out = np.where(self.keys[0].take(s) == h, self.vals[0].take(s), -1)
+        for t in range(1, self.tables):
+            rest = np.flatnonzero(out < 0)  # few: most pieces are in the first table
+            own = h[rest]
+            s = self._slot(own, t).astype(np.int64)
+            out[rest] = np.where(self.keys[t].take(s) == own, self.vals[t].take(s), -1)
         return out
 
     # ---- one part at a time
@@ -256,14 +265,14 @@ class Lattice:
         by: dict[int, list[int]] = {}
         for i, p in enumerate(parts):
             if 0 < len(p) <= TOGETHER:
-                by.setdefault((len(p) + 3) // 4 * 4, []).append(i)
+                by.setdefault(len(p) if len(p) <= 12 else (len(p) + 3) // 4 * 4, []).append(i)
             elif p:
                 two = self.n_best(p, 2)
                 value[i], ids[i] = two[0]
                 gap[i] = two[0][0] - two[1][0] if len(two) > 1 else -1
         for width, own in by.items():
-            for lo in range(0, len(own), 4096):
-                rows = own[lo : lo + 4096]
+            for lo in range(0, len(own), ROWS):
+                rows = own[lo : lo + ROWS]
                 got, v, g = self._together([parts[i] for i in rows], width)
                 gap[rows] = g
                 for i, x, y in zip(rows, got, v.tolist()):
@@ -283,12 +292,12 @@ class Lattice:
         used = []  # (end, length) with an edge in any part
         for k in range(1, reach + 1):
             h = (h[:-1] if k > 1 else h) * self.base + code[k - 1 :]
-            likely = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)] & inside[k - 1 :])
+            likely = np.flatnonzero(self.seen.take((h >> np.uint64(44)).astype(np.int64)) & inside[k - 1 :])
             found = self.find(h.ravel()[likely])
             likely, found = likely[found >= 0], found[found >= 0]
             edge[k, k:].reshape(-1)[likely] = self.value[found]
             edge_id[k, k:].reshape(-1)[likely] = found
-            used += [(int(j) + k, k) for j in np.unique(likely // n)]
+            used += [(j + k, k) for j in np.flatnonzero(np.bincount(likely // n)).tolist()]
         bare = (edge_id[1, 1:] < 0) & inside
         if bare.any():
             c = flat.T[bare]
@@ -301,7 +310,7 @@ class Lattice:
             v = ahead[j - k] + edge[k, j]
             better = v > ahead[j]
             np.copyto(ahead[j], v, where=better)
-            back[j][better] = k
+            np.copyto(back[j], np.int8(k), where=better)
         behind = np.full((width + 1, n), _NEVER, np.int64)
         behind[size, np.arange(n)] = 0
         for j, k in reversed(used):
@@ -340,6 +349,16 @@ class Lattice:
     def score(self, value: int, count: int) -> float:
         return (value + count) // STEP * self.unit
 
+    def raw_of(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for, some ten thousand ids at a time."""
+        out = []
+        for lo in range(0, len(ids), 1 << 15):
+            own = ids[lo : lo + (1 << 15)]
+            size = self.raw_size[own]
+            upto = np.cumsum(size)
+            out.append(self.raw_all[np.repeat(self.raw_at[own] - (upto - size), size) + np.arange(upto[-1])].tobytes())
+        return b"".join(out)
+
     def text_of(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode("utf-8", "surrogatepass")
 
@@ -394,27 +413,53 @@ class Segmenter:
         self.total, self.gap, self.size, self.hits = (x[order] for x in (self.total, self.gap, self.size, self.hits // 2))
         self.held = sum(map(len, self.at)) + sum(map(len, self.ids))
 
-    def segment(self, texts: list[str]) -> list[list[tuple[int, bytes]]]:
-        """Of each text: up to n (value, ids), best first."""
-        split = [self.split(t) for t in texts]
-        if new := [p for p in set().union(*split) if p not in self.at]:
+    def segment(self, texts) -> list[list[tuple[int, bytes]]]:
+        """Of each text of a list or an Arrow column without nulls: up to n (value, ids), best first."""
+        names, which, first = self.split(texts)
+        if new := [p for p in names if p not in self.at]:
             self.learn(new)
-        out = [self._whole(parts) for parts in split]
+        at = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))[which]
+        out = [self._whole(names, which[i:j], at[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
         if len(self.at) > CACHE or self.held > CACHE_BYTES:
             self.trim()
         return out
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        parts = pre_tokens(text)
-        if parts and parts[0][:1] == "\n":
-            parts = ["", *parts]  # the blank ahead of the text stands alone
-        return parts
-
-    def _whole(self, parts: list[str]) -> list[tuple[int, bytes]]:
-        if not parts:
+    def split(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different parts of texts; which of them each part of the texts is; and each text's first part, and one more.
+
+        Arrow cuts texts as ``pre_tokens`` does where no two blanks meet; others, few, are cut by it.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        marked = pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n")
+        odd = pc.or_(pc.or_(pc.match_substring(marked, "  "), pc.equal(pc.binary_length(marked), 0)), pc.or_(pc.starts_with(marked, " "), pc.ends_with(marked, " ")))
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(odd_at):
+            marked = pc.if_else(odd, pa.scalar(None, pa.large_string()), marked)
+        cut = pc.split_pattern(marked, " ")
+        many = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(odd_at):
+            number = {p: i for i, p in enumerate(names)}
+            runs, upto = [], 0
+            start = np.cumsum(many) - many
+            for i in odd_at.tolist():
+                parts = pre_tokens(texts[i].as_py())
+                if parts and parts[0][:1] == "\n":
+                    parts = ["", *parts]  # the blank ahead of the text stands alone
+                runs += [which[upto : start[i]], np.array([number.setdefault(p, len(number)) for p in parts], np.int64)]
+                upto, many[i] = start[i], len(parts)
+            names, which = list(number), np.concatenate([*runs, which[upto:]])
+        return names, which, np.concatenate([[0], np.cumsum(many)])
+
+    def _whole(self, names: list[str], which: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes]]:
+        """The n best of a text, whose parts are ``names`` at ``which`` and in the cache at ``at``."""
+        if not len(at):
             return [(0, b"")]
-        at = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
         self.hits[at] += 1
         joined = b"".join(map(self.ids.__getitem__, at.tolist()))
         # scores and numbers of pieces are summed apart: a text's value may be beyond 64 bits
@@ -432,7 +477,7 @@ class Segmenter:
         spots = sorted(open_.tolist())
         ends = np.cumsum(self.size[at])[spots].tolist()
         begins = [e - len(self.ids[at[s]]) for s, e in zip(spots, ends)]
-        options = [self._more(parts[s]) for s in spots]
+        options = [self._more(names[which[s]]) for s in spots]
         loss = [[o[0][0] - v for v, _ in o] for o in options]
         heap, seen = [(0, (), (0,) * len(spots))], {(0,) * len(spots)}
         while heap and len(out) <= self.n:
@@ -503,14 +548,21 @@ def encode(docs: DataFrame, path: str, n: int = 4, ids: bool = True, key: str =
         own = segmenter(path, n)
         for b in batches:
             for lo, hi in blocks(pc.utf8_length(b.column(1)).to_pylist()):
-                texts = b.column(1).slice(lo, hi - lo).to_pylist()
+                texts = b.column(1).slice(lo, hi - lo)
+                all_found = own.segment(texts)
+                # the bytes of every text's best ids, one text after another, each with its blank ahead
+                best = [np.frombuffer(f[0][1], "<u2") for f in all_found]
+                back = memoryview(own.lattice.raw_of(np.concatenate(best)))
+                sizes = [int(own.lattice.raw_size[i].sum()) for i in best]
                 scores, lengths, digests, trips, all_ids = [], [], [], [], []
-                for t, found in zip(texts, own.segment(texts)):
+                upto = 0
+                for t, size, found in zip(texts, sizes, all_found):
                     lengths.append([len(i) // 2 for _, i in found])
                     scores.append([own.lattice.score(v, m) for (v, _), m in zip(found, lengths[-1])])
                     digests.append([xxhash.xxh64_hexdigest(i) for _, i in found])
                     # the others differ from the first in parts whose segmentations were seen to give the part back
-                    trips.append(own.lattice.decode(found[0][1]) == t)
+                    trips.append(back[upto : upto + size][1:] == t.as_buffer().to_pybytes())
+                    upto += size
                     if ids:
                         all_ids.append([np.frombuffer(i, "<u2").astype(np.int32) for _, i in found])
                 cols = [b.column(0).slice(lo, hi - lo), pa.array(scores, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.string())), pa.array(trips, pa.bool_())]

@@ -22,6 +22,7 @@ _TABLE = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_BYTES = _LOWER.tobytes()
 
 #: Words between ASCII white space.
 BLANKS = np.zeros(256, bool)
@@ -33,6 +34,8 @@ MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 #: Bytes looked at together; a longer document is looked at alone.
 CHUNK = 1 << 20
+#: Bytes hashed together, at most: what is held for them stays in a core's cache.
+NEAR = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,11 +115,13 @@ def scan(column, separators: np.ndarray = BLANKS, most: int = CHUNK) -> Iterator
 
 def words(raw: np.ndarray, off: np.ndarray, separators: np.ndarray, lo: int = 0, hi: int | None = None) -> Words:
     hi = lo + len(off) - 1 if hi is None else hi
-    data, n = _LOWER[raw], len(raw)
+    n, given = len(raw), raw.tobytes()
+    data = np.frombuffer(given.translate(_LOWER_BYTES), np.uint8)
     if not n:
         e = np.zeros(0, np.int64)
         return Words(lo, hi, data, e, e, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
-    apart = separators[raw]
+    apart = np.frombuffer(given.translate(separators.tobytes()), bool)
+    del given
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, apart[:-1]
     after[-1], after[:-1] = True, apart[1:]
@@ -131,31 +136,34 @@ def words(raw: np.ndarray, off: np.ndarray, separators: np.ndarray, lo: int = 0,
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The words' hashes, ``CHUNK`` bytes of words at a time: what is held grows with the words, not their bytes."""
+    """The words' hashes, ``NEAR`` bytes at a time: what is held grows with the words, not their bytes."""
     total = np.zeros(len(start), np.uint64)
+    step = min(CHUNK, NEAR)
     lo = 0
     while lo < len(start):
-        hi = int(np.searchsorted(end, start[lo] + CHUNK, "right"))
-        if hi <= lo:  # one word of more than a chunk
+        at = int(start[lo])
+        hi = int(np.searchsorted(end, at + step, "right"))
+        if hi <= lo:  # one word of more than a step
             factor = _U(1)
-            for at in range(int(start[lo]), int(end[lo]), CHUNK):
-                own = data[at : min(at + CHUNK, int(end[lo]))]
+            for at in range(at, int(end[lo]), step):
+                own = data[at : min(at + step, int(end[lo]))]
                 with np.errstate(over="ignore"):
-                    total[lo] += factor * (_TABLE[own] * powers(CHUNK + 1)[: len(own)]).sum(dtype=np.uint64)
-                    factor *= powers(CHUNK + 1)[CHUNK]
-            hi = lo + 1
-            total[lo:hi] = mix(total[lo:hi] + (end[lo:hi] - start[lo:hi]).astype(np.uint64) * _U(0xA24BAED4963EE407))
-            lo = hi
+                    total[lo] += factor * (_TABLE[own] * powers(step + 1)[: len(own)]).sum(dtype=np.uint64)
+                    factor *= powers(step + 1)[step]
+            lo += 1
             continue
-        n = end[lo:hi] - start[lo:hi]
-        begin = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(begin, n)
-        part = _TABLE[data[place + np.repeat(start[lo:hi], n)]] * powers(int(n.max()) + 1)[place]
-        sums = np.zeros(len(part) + 1, np.uint64)
+        begin, stop = (start[lo:hi] - at).astype(np.int32), (end[lo:hi] - at).astype(np.int32)
+        size = int(stop[-1])
+        # a byte's place in its word; bytes between words have some place too, and are left out of the sums
+        place = np.arange(size, dtype=np.int32)
+        place -= np.repeat(begin, np.diff(begin, append=np.int32(size)))
+        sums = np.zeros(size + 1, np.uint64)
+        part = _TABLE.take(data[at : at + size])
+        part *= powers(int((stop - begin).max()) + 1).take(place, mode="clip")
         np.cumsum(part, out=sums[1:])
-        total[lo:hi] = mix(sums[begin + n] - sums[begin] + n.astype(np.uint64) * _U(0xA24BAED4963EE407))
+        total[lo:hi] = sums[stop] - sums[begin]
         lo = hi
-    return total
+    return mix(total + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
 def hash_words(items: list[bytes]) -> np.ndarray:

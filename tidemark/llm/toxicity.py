@@ -34,6 +34,8 @@ PICKED, CHANCE = 10, 4
 UNTAUGHT = -15.0
 #: Tasks that read the labelled texts.
 TASKS = 32
+#: Words whose inputs a scoring worker keeps, 72 bytes each, and windows of full size that are judged together.
+KNOWN, FULL_BLOCK = 1 << 18, 512
 _F = np.float32
 
 
@@ -147,6 +149,48 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, (states, tape, th, a, pooled)) if hold else logit
 
+    def gates(self, x: np.ndarray) -> tuple:
+        """What ``run_full`` adds for each word and step, with the halves of the sigmoids' arguments in it."""
+        at = slice(0, 2 * HIDDEN), slice(2 * HIDDEN, None)
+        both = [x @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"]
+        by_word = [(np.ascontiguousarray(g[:, at[0]] * _F(0.5)), np.ascontiguousarray(g[:, at[1]])) for g in both]
+        u = np.stack([self.p["hf"], self.p["hb"]])
+        ends = np.concatenate([self.p["att"], self.p["out"][:, None]], 1).reshape(2, 1, 2 * HIDDEN // 2, ATTEND + 1)
+        return by_word, np.ascontiguousarray(u[:, :, at[0]] * _F(0.5)), np.ascontiguousarray(u[:, :, at[1]]), ends
+
+    def run_full(self, gates: tuple, at: np.ndarray) -> np.ndarray:
+        """Logits of windows of WINDOW words, as ``run`` gives them: both directions at once, in place, nothing held."""
+        (fwd, bwd), u_zr, u_new, ends = gates
+        n, steps = at.shape
+        at = np.ascontiguousarray(at.T)
+        states = np.empty((2, steps, n, HIDDEN), _F)
+        h = np.zeros((2, n, HIDDEN), _F)
+        zr, new, more_zr, more_new = (np.empty((2, n, k), _F) for k in (2 * HIDDEN, HIDDEN, 2 * HIDDEN, HIDDEN))
+        for t in range(steps):
+            back = steps - 1 - t
+            for k, words, rows in ((0, fwd, at[t]), (1, bwd, at[back])):
+                np.take(words[0], rows, 0, out=zr[k], mode="clip")
+                np.take(words[1], rows, 0, out=new[k], mode="clip")
+            if t:
+                zr += np.matmul(h, u_zr, out=more_zr)
+            np.tanh(zr, out=zr)
+            zr *= _F(0.5)
+            zr += _F(0.5)
+            if t:
+                np.matmul(h, u_new, out=more_new)
+                more_new *= zr[..., HIDDEN:]
+                new += more_new
+            np.tanh(new, out=new)
+            h -= new
+            h *= zr[..., :HIDDEN]
+            h += new
+            states[0, t], states[1, back] = h
+        told = np.matmul(states, ends)
+        told = told[0] + told[1]
+        s = np.tanh(told[..., :ATTEND]) @ self.p["att_v"]
+        a = np.exp(s - s.max(0))
+        return (a * told[..., ATTEND]).sum(0) / a.sum(0) + self.p["bias"][0]
+
     def gradient(self, x, at, mask, held, dlogit):
         """Gradients of all but the embeddings, and of x."""
         states, tape, th, a, pooled = held
@@ -211,7 +255,7 @@ class Texts:
 
 
 def prepare(w: textscan.Words) -> Texts:
-    h, one, at = np.unique(w.hash, return_index=True, return_inverse=True)
+    h, one, at = _different(w.hash)
     if len(h):
         grams, begin = grams_of(w.data, w.start[one], w.end[one])
     else:
@@ -219,16 +263,58 @@ def prepare(w: textscan.Words) -> Texts:
     return Texts(h, grams, begin, at, w.first)
 
 
-def logits_of(net: Network, t: Texts, begin: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
-    """The logit of each window, given by its first place in ``t.at`` and its size."""
+def _different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes, a place of each, and of every place its hash's number."""
+    order = np.argsort(h)
+    run = h[order]
+    new = np.empty(len(h), bool)
+    new[:1], new[1:] = True, run[1:] != run[:-1]
+    at = np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return run[new], order[new], at
+
+
+class Known:
+    """Inputs of words that a worker has met, by hash; when there are more than KNOWN, the last texts' words stay."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self.hash, self.x = np.zeros(0, np.uint64), np.zeros((0, 2 * DIM), _F)
+
+    def prepare(self, w: textscan.Words) -> tuple[Texts, np.ndarray]:
+        """Texts, without n-grams, and the inputs of their different words."""
+        h, one, at = _different(w.hash)
+        t = Texts(h, np.zeros(0, np.int64), np.zeros(len(h) + 1, np.int64), at, w.first)
+        if not len(h):
+            return t, np.zeros((1, 2 * DIM), _F)
+        place = np.searchsorted(self.hash, h)
+        met = np.zeros(len(h), bool)
+        if len(self.hash):
+            met = self.hash[np.minimum(place, len(self.hash) - 1)] == h
+        x = np.empty((len(h), 2 * DIM), _F)
+        x[met] = self.x[place[met]]
+        if not met.all():
+            new = ~met
+            x[new] = self.net.inputs(t.word[new], *grams_of(w.data, w.start[one[new]], w.end[one[new]]))
+            if len(self.hash) + int(new.sum()) > KNOWN:
+                self.hash, self.x = h[:KNOWN], x[:KNOWN].copy()
+            else:
+                self.hash, self.x = np.insert(self.hash, place[new], h[new]), np.insert(self.x, place[new], x[new], 0)
+        return t, x
+
+
+def logits_of(net: Network, t: Texts, begin: np.ndarray, size: np.ndarray, block: int = 2048, x: np.ndarray | None = None) -> np.ndarray:
+    """The logit of each window, given by its first place in ``t.at`` and its size; x are the inputs of the words, if known."""
     logit = np.empty(len(begin), _F)
-    x = net.inputs(t.word, t.grams, t.begin) if len(t.hash) else np.zeros((1, 2 * DIM), _F)
+    if x is None:
+        x = net.inputs(t.word, t.grams, t.begin) if len(t.hash) else np.zeros((1, 2 * DIM), _F)
     step = np.arange(WINDOW)
     at = t.at if len(t.at) else np.zeros(1, np.int64)
     full = np.flatnonzero(size == WINDOW)
-    for lo in range(0, len(full), block):
-        rows = full[lo : lo + block]
-        logit[rows] = net.run(x, at[begin[rows, None] + step], None)
+    gates = net.gates(x) if len(full) else None
+    for lo in range(0, len(full), FULL_BLOCK):
+        rows = full[lo : lo + FULL_BLOCK]
+        logit[rows] = net.run_full(gates, at[begin[rows, None] + step])
     part = np.flatnonzero(size < WINDOW)
     part = part[np.argsort(size[part], kind="stable")]
     for lo in range(0, len(part), block):
@@ -239,15 +325,15 @@ def logits_of(net: Network, t: Texts, begin: np.ndarray, size: np.ndarray, block
     return logit
 
 
-def window_logits(net: Network, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_logits(net: Network, t: Texts, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, size, logit) of every window of every text."""
     doc, first, size = windows_of(np.diff(t.first))
-    return doc, first, size, logits_of(net, t, t.first[doc] + first, size)
+    return doc, first, size, logits_of(net, t, t.first[doc] + first, size, x=x)
 
 
-def worst_windows(net: Network, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def worst_windows(net: Network, t: Texts, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its worst window's logit, that window's first word (the first of equals), and its number of windows."""
-    doc, first, _, logit = window_logits(net, t)
+    doc, first, _, logit = window_logits(net, t, x)
     n = len(t.first) - 1
     top = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(n)))
     at = np.flatnonzero(logit == top[doc])
@@ -524,10 +610,11 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
         own = shared.value
+        known = Known(own)
         for b in batches:
             best, where, many = [], [], []
             for w in textscan.scan(b.column(0), textscan.MARKS):
-                for held, x in zip((best, where, many), worst_windows(own, prepare(w))):
+                for held, x in zip((best, where, many), worst_windows(own, *known.prepare(w))):
                     held.append(x)
             cat = lambda x: np.concatenate(x) if x else np.zeros(0)
             p = own.probability(cat(best))
