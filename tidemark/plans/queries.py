@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import analyzer, bitcodecs, codecs
 from tidemark.model import MeasurementSchema, TableSchema
@@ -715,8 +716,9 @@ def ingest_drop_nulls(spark, d):
 
 @query("SELECT event_id, CAST(user_id AS INTEGER) AS device_small, CAST(value AS FLOAT) AS small, CAST(value AS DOUBLE) AS wide FROM events")
 def ingest_promote_types(spark, d):
+    """Numbers of the type that a narrower one is promoted to: what the narrower one can't hold is no error."""
     e = table(spark, d, "events")
-    return e.select("event_id", F.col("user_id").cast("short").cast(DataType.of(spark.createDataFrame([], "x short").schema["x"].dataType).spark).alias("device_small"), F.col("value").cast("float").alias("small"), F.col("value").alias("wide"))
+    return e.select("event_id", F.col("user_id").cast(DataType.of(T.ShortType()).spark).alias("device_small"), F.col("value").cast("float").alias("small"), F.col("value").alias("wide"))
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS from_us, epoch_us(ts) // 1000000 * 1000 AS from_s, epoch_us(ts) // 1000 AS from_ns FROM events")
