@@ -1,9 +1,11 @@
 """Queries over tables whose keys and groups grow: whole results, with no task that takes most of the rows."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tidemark.plans import queries as core
+from tidemark.sources import series as io
 
 
 def same_as_sql(spark, name, home):
@@ -26,3 +28,19 @@ def test_promoted_ids_beyond_the_narrow_type(spark, tmp_path):
     duckdb.execute(f"COPY (SELECT * REPLACE (user_id + CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 40000 ELSE 2147480000 END AS user_id) FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet'")
     rows = same_as_sql(spark, "ingest_promote_types", tmp_path)
     assert max(r[1] for r in rows) > 2147480000
+
+
+def test_a_long_device_is_written_as_several_files(spark, tmp_path, monkeypatch):
+    """One device with nearly all rows: no file, and so no task, holds them all, and none is lost."""
+    monkeypatch.setattr(io, "FILE_BYTES", 1000 * io.ROW_BYTES)
+    long = spark.range(8000).selectExpr("if(id % 100 = 0, concat('d', id % 7), 'hot') as device_id", "if(id % 2 = 0, 'a', 'b') as measurement", "(id * 7919) % 8000 as ts", "cast(id as double) as value", "id as seq")
+    for name, config, most in (("bytes", io.Config(), 2000), ("files", io.Config(files=4), 4000)):
+        io.append(long, str(tmp_path / name), config)
+        back = spark.read.parquet(str(tmp_path / name))
+        assert sorted(back.select(long.columns).collect()) == sorted(long.collect())
+        key = F.struct("device_id", "measurement", "ts")
+        files = sorted(back.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect(), key=lambda r: r.low)
+        assert len(files) >= 4 and max(r.n for r in files) < most
+        assert all(a.high < b.low for a, b in zip(files, files[1:]))
+    texts = long.withColumn("value", F.repeat(F.lit("x"), 9 * io.ROW_BYTES))
+    assert (io._files(long), io._files(texts), io._files(long.limit(0))) == (8, 80, 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -158,9 +159,9 @@ class SeriesWriter:
     Every flush adds files; nothing that was written before is lost, and ``seq`` goes on after the
     largest one that is stored, so rows of later writers come later.  There is one writer at a time.
     Files are grouped by device and sorted by measurement and time, so that Parquet's statistics prune
-    by both.  A dataset has ``points``, with a value column for each type (all but a row's own are
-    null, and cost nothing in Parquet), and ``series``, the registered series with type, encoding and
-    compression.  ``Series.open`` reads it; ``catalog`` lists it.
+    by both; a long series goes on in the next file.  A dataset has ``points``, with a value column for
+    each type (all but a row's own are null, and cost nothing in Parquet), and ``series``, the registered
+    series with type, encoding and compression.  ``Series.open`` reads it; ``catalog`` lists it.
     """
 
     spark: SparkSession
@@ -235,6 +236,8 @@ class SeriesWriter:
 
 #: The value column of each type in a writer's dataset
 COLUMN = {DataType.BOOLEAN: "boolean", DataType.INT32: "int32", DataType.INT64: "int64", DataType.FLOAT: "float", DataType.DOUBLE: "double", DataType.TEXT: "text", DataType.TIMESTAMP: "timestamp", DataType.DATE: "date", DataType.BLOB: "blob"}
+#: Bytes of rows that a file gets when they are sorted for it, and of a row besides its text or blob
+FILE_BYTES, ROW_BYTES = 1 << 27, 1 << 7
 SERIES = "device_id string, measurement string, kind string, encoding string, compression string"
 
 
@@ -257,8 +260,19 @@ def last_seq(spark: SparkSession, path: str) -> int:
     return -1 if found is None else found
 
 
+def _files(long: DataFrame) -> int:
+    """How many files of FILE_BYTES long rows take: ROW_BYTES for each, and the bytes of its text or blob."""
+    texts = [c for c, kind in long.dtypes if kind in ("string", "binary") and c not in ("device_id", "measurement")]
+    each = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(ROW_BYTES))
+    return max(1, math.ceil((long.agg(F.sum(each.cast("long"))).first()[0] or 0) / FILE_BYTES))
+
+
 def append(long: DataFrame, path: str, config: Config = Config(), schemas: list[MeasurementSchema] = (), follow: bool = False) -> None:
-    """Append long rows, grouped by device and sorted, in one shuffle.
+    """Append long rows, grouped by device and sorted, in one shuffle by ranges.
+
+    A file holds about FILE_BYTES of rows, or with ``config.files`` that part of them, so a device of any
+    length is in as many files as it takes, one after another in time.  The price is two more looks at
+    ``long``: its size is counted and the ranges are found before rows are moved.
 
     With ``follow``, ``seq`` counts from after the largest one that is stored.  Parquet's own encodings
     follow ``schemas``: a column of which some measurement wants a dictionary or runs gets a dictionary,
@@ -267,7 +281,8 @@ def append(long: DataFrame, path: str, config: Config = Config(), schemas: list[
     if follow:
         after = last_seq(long.sparkSession, path)
         long = long.withColumn("seq", F.col("seq") + F.lit(after + 1))
-    dealt = long.repartition(config.files, "device_id") if config.files else long.repartition("device_id")
+    order = [c for c in ("device_id", "measurement", "ts", "seq") if c in long.columns]
+    dealt = long.repartitionByRange(config.files or _files(long), *order)
     out = dealt.sortWithinPartitions("device_id", "measurement", "ts").write.mode("append").option("compression", config.compression.parquet)
     if schemas:
         out = out.option("parquet.writer.version", "v2")
