@@ -18,18 +18,31 @@ from tidemark.operators import split
 
 def rle_encode(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
     """(by..., run, value, length): runs of equal values, numbered from 0; nulls make runs of their own."""
-    w = split.within(by, seq)
     slim = split.chunked(rows.select(*by, seq, value), seq)
-    new = F.when(F.row_number().over(w) > 1, (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")).otherwise(0)
-    marked = slim.withColumn("_new", new)
+
+    def steps_of(met: DataFrame, w) -> DataFrame:
+        new = F.when(F.row_number().over(w) > 1, (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")).otherwise(0)
+        return met.withColumn("_new", new).withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    marked = steps_of(split.dealt(slim, [*by, "_chunk"]), split.within(by, seq))
     ends = F.struct(F.col(value).alias("v"))
-    runs = split.carried(marked, by, {"first": F.min_by(ends, F.col(seq)), "last": F.max_by(ends, F.col(seq)), "new": F.sum("_new")}, [
+    own = {"first": F.min_by(ends, F.col(seq)), "last": F.max_by(ends, F.col(seq)), "new": F.sum("_new"), "n": F.count(F.lit(1)), "head": F.count_if(F.col("_nth") == 0)}
+    goes_on = F.lag("_own_last").over
+    met = split.carried(slim, by, [seq], own, [
         # a chunk begins with a new run unless its first value is the last one of the chunk before
-        lambda w: ("_begins", F.when(F.lag("_own_last").over(w).isNull(), 0).otherwise((~F.col("_own_first.v").eqNullSafe(F.lag("_own_last").over(w)["v"])).cast("int"))),
+        lambda w: ("_starts", goes_on(w).isNull() | ~F.col("_own_first.v").eqNullSafe(goes_on(w)["v"])),
+        lambda w: ("_begins", (F.col("_starts") & goes_on(w).isNotNull()).cast("int")),
         lambda w: ("_ahead", split.earlier(w, F.col("_own_new") + F.col("_begins")) + F.col("_begins")),
-    ])
-    runs = runs.withColumn("run", F.col("_ahead") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "run").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("length"))
+        # and the run that a chunk ends with has the heads of the chunks that go on with it as well
+        lambda w: ("_heads", F.sum(F.when(F.col("_starts"), 0).otherwise(F.col("_own_head"))).over(Window.partitionBy(*by, "_ahead"))),
+        lambda w: ("_more", F.when(~F.lead("_starts").over(w), F.lead("_heads").over(w)).otherwise(0)),
+        lambda w: ("_n", F.col("_own_n")),
+    ], ["_starts", "_ahead", "_more", "_n"], marked)
+    w = split.after(by, seq)
+    met = steps_of(met, w).withColumn("_at", F.row_number().over(w))
+    heads = met.where("_at = 1 or _new = 1").withColumn("_next", F.lead("_at").over(w))
+    length = F.coalesce(F.col("_next"), F.col("_n") + 1) - F.col("_at") + F.when(F.col("_next").isNull(), F.col("_more")).otherwise(0)
+    return heads.where("_starts or _at > 1").select(*by, (F.col("_ahead") + F.col("_nth")).alias("run"), value, length.alias("length"))
 
 
 def rle_decode(runs: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -98,33 +111,35 @@ def delta(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "delt
 def delta_of_delta(rows: DataFrame, by: list[str], value: str, seq: str, out: str = "code") -> DataFrame:
     """Of each series: the first value, the first difference, then differences of differences."""
     w = split.within(by, seq)
-    staged = split.chunked(rows, seq).withColumn("_one", F.lag(value).over(w)).withColumn("_at", F.row_number().over(w))
+    staged = split.dealt(split.chunked(rows, seq), [*by, "_chunk"]).withColumn("_one", F.lag(value).over(w)).withColumn("_at", F.row_number().over(w))
     # a chunk's last value, and the one before that if it has two rows
     tail = F.array_compact(F.array(F.when(F.col("_at") > 1, F.struct(F.col("_one").alias("v"))), F.struct(F.col(value).alias("v"))))
     empty = F.array().cast(staged.select(tail.alias("t")).schema["t"].dataType)
     before = lambda w, n: F.coalesce(F.lag("_own_tail", n).over(w), empty)
-    met = split.carried(staged, by, {"tail": F.max_by(tail, F.col(seq))}, [lambda w: ("_tail", F.concat(before(w, 2), before(w, 1)))])
+    met = split.carried(staged, by, [seq], {"tail": F.max_by(tail, F.col(seq))}, [lambda w: ("_tail", F.concat(before(w, 2), before(w, 1)))], ["_tail"])
+    w = split.after(by, seq)
     earlier = lambda k: F.try_element_at("_tail", F.lit(-k))["v"]
     one = F.when(F.col("_at") > 1, F.col("_one")).otherwise(earlier(1))
     two = F.when(F.col("_at") > 2, F.lag(value, 2).over(w)).when(F.col("_at") == 2, earlier(1)).otherwise(earlier(2))
     d, e = F.col(value) - one, one - two
-    return met.withColumn(out, F.coalesce(d - e, d, F.col(value))).drop("_chunk", "_one", "_at", "_tail")
+    return met.withColumn(out, F.coalesce(d - e, d, F.col(value))).drop("_chunk", "_row", "_one", "_at", "_tail")
 
 
 def delta_of_delta_decode(rows: DataFrame, by: list[str], code: str, seq: str, out: str = "value") -> DataFrame:
     """Two running sums over each series: of differences of differences, and of the differences they give."""
     first = rows.groupBy(*by).agg(F.min(seq).alias("_first")).select(*[F.col(b).alias(f"_of_{b}") for b in by], "_first")
     met = split.chunked(rows.join(first, [rows[b].eqNullSafe(first[f"_of_{b}"]) for b in by]).drop(*[f"_of_{b}" for b in by]), seq)
+    met = split.dealt(met, [*by, "_chunk"])
     head, w = F.col(seq) == F.col("_first"), split.within(by, seq)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("_d", F.sum(F.when(head, 0).otherwise(F.col(code))).over(upto))
     met = met.withColumn("_s", F.sum(F.when(head, F.col(code)).otherwise(F.col("_d"))).over(upto)).withColumn("_n", F.row_number().over(w) - F.when(F.shiftright(F.col("_first").cast("long"), split.SPAN_BITS) == F.col("_chunk"), 1).otherwise(0))
-    met = split.carried(met, by, {"d": F.max_by("_d", seq), "s": F.max_by("_s", seq), "n": F.max_by("_n", seq)}, [
+    met = split.carried(met, by, [seq], {"d": F.max_by("_d", seq), "s": F.max_by("_s", seq), "n": F.max_by("_n", seq)}, [
         lambda w: ("_before_d", split.earlier(w, "_own_d")),
         # a chunk's differences are all larger by what the chunks before it have summed up
         lambda w: ("_before_s", split.earlier(w, F.col("_own_s") + F.col("_own_n") * F.col("_before_d"))),
-    ])
-    return met.withColumn(out, F.col("_before_s") + F.col("_s") + F.col("_n") * F.col("_before_d")).drop("_chunk", "_first", "_d", "_s", "_n", "_before_d", "_before_s")
+    ], ["_before_d", "_before_s"])
+    return met.withColumn(out, F.col("_before_s") + F.col("_s") + F.col("_n") * F.col("_before_d")).drop("_chunk", "_row", "_first", "_d", "_s", "_n", "_before_d", "_before_s")
 
 
 # ---- zigzag and variable-length integers

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import analyzer, bitcodecs, codecs
 from tidemark.model import MeasurementSchema, TableSchema
-from tidemark.operators import indexes, stats
+from tidemark.operators import indexes, split, stats
 from tidemark.operators import predicates as P
 from tidemark.operators.scan import Series
 from tidemark.sources import series as io
@@ -489,8 +489,8 @@ _RUNS = """(SELECT l_suppkey, run, any_value(l_returnflag) AS l_returnflag, coun
 
 
 def _lines(spark, d):
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    return table(spark, d, "lineitem").withColumn("k", F.row_number().over(w))
+    ties = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    return split.placed(table(spark, d, "lineitem"), ["l_suppkey"], "l_orderkey", "k", ties).withColumn("k", F.col("k") + 1)
 
 
 @query(f"SELECT l_suppkey, CAST(run AS BIGINT) AS run, l_returnflag, length FROM {_RUNS}")
